@@ -16,7 +16,7 @@ from lodeweave.llm.vectors import pack, unpack
 
 
 def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, min_cos: float = 0.85, shard_rows: int = 16384,
-            sample_rows: int = 40000, shards_per_query: int = 3, slack: float = 0.15, degree: int = 12, beam: int = 20) -> DataFrame:
+            sample_rows: int = 40000, shards_per_query: int = 3, slack: float = 0.15, degree: int = 16, beam: int = 24) -> DataFrame:
     """The ``k`` most similar other vectors of every vector, among those with a cosine of at least ``min_cos``.
 
     Columns ``id``, ``neighbour``, ``cosine``; ties go to the smaller neighbour id. Every row is indexed and every row is a
@@ -30,16 +30,15 @@ def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, min_cos: float
     (the least vector); an empty table gives an empty result.
     """
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    rows = pack(rows.filter(F.col("id").isNotNull()), "v", ["id"]).groupBy("id").agg(F.min("vec").alias("vec"))
-    rows = rows.withColumn("k1", F.xxhash64("vec")).withColumn("k2", F.xxhash64("vec", F.lit(1)))
-    rows = rows.persist()
-    first = W.partitionBy("k1", "k2").orderBy("id")
-    low = rows.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= k + 1)
-    nodes = low.groupBy("k1", "k2").agg(F.min(F.struct("id", "vec")).alias("m"), F.array_sort(F.collect_list("id")).alias("ids"))
-    nodes = nodes.select("k1", "k2", F.col("m.id").alias("rep"), F.col("m.vec").alias("vec"), "ids")
-    n = rows.count()
+    rows = pack(rows.filter(F.col("id").isNotNull()), "v", ["id"])
+    rows = rows.withColumn("k1", F.xxhash64("vec")).withColumn("k2", F.xxhash64("vec", F.lit(1))).persist()
+    nodes = rows.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("vec").alias("vec")).persist()
+    members = rows.groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("m")).select("id", "m.k1", "m.k2").persist()
+    first = members.withColumn("nth", F.row_number().over(W.partitionBy("k1", "k2").orderBy("id"))).filter(F.col("nth") <= k + 1)
+    low = nodes.select("k1", "k2", "rep").join(first.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("id")).alias("ids")), ["k1", "k2"]).persist()
+    n = nodes.count()
     every = max(1, n // sample_rows)
-    sample = rows.filter(F.pmod("k1", F.lit(every)) == 0).select("vec").distinct().limit(2 * sample_rows).toArrow().column(0)
+    sample = nodes.filter(F.pmod("k1", F.lit(every)) == 0).select("vec").limit(2 * sample_rows).toArrow().column(0)
     x = unpack(sample)
     if len(x) == 0:
         x = np.ones((1, 1), np.float32)
@@ -64,7 +63,7 @@ def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, min_cos: float
         g = RobustGraph(v[base], degree, beam)
         entry = np.full(len(v), -1, np.int32)
         entry[base] = np.arange(len(base))
-        ids, sims = g.search(v, beam=max(k + 3, beam * 3 // 5), entry=entry, expand=4)
+        ids, sims = g.search(v, beam=max(k + 3, beam * 2 // 3), entry=entry, expand=4)
         sims = np.where((ids < 0) | (ids == entry[:, None]), -9, sims)
         r, c = np.nonzero(sims >= min_cos - 1e-3)
         to = base[ids[r, c]]
@@ -77,11 +76,10 @@ def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, min_cos: float
     found = routed.groupBy("cell").applyInArrow(answer, "q string, nb string, cosine double")
     best = W.partitionBy("q").orderBy(F.col("cosine").desc(), "nb")
     classes = found.dropDuplicates(["q", "nb"]).withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k + 1).select("q", "nb", "cosine")
-    own = nodes.filter(F.size("ids") > 1).select(F.col("rep").alias("q"), F.col("rep").alias("nb"), F.lit(1.0).alias("cosine"))
-    wide = classes.unionByName(own).join(nodes.select(F.col("rep").alias("nb"), "ids"), "nb").select("q", "cosine", F.explode("ids").alias("neighbour"))
+    own = low.filter(F.size("ids") > 1).select(F.col("rep").alias("q"), F.col("rep").alias("nb"), F.lit(1.0).alias("cosine"))
+    wide = classes.unionByName(own).join(low.select(F.col("rep").alias("nb"), "ids"), "nb").select("q", "cosine", F.explode("ids").alias("neighbour"))
     listed = wide.withColumn("nth", F.row_number().over(W.partitionBy("q").orderBy(F.col("cosine").desc(), "neighbour"))).filter(F.col("nth") <= k + 1)
-    listed = listed.join(nodes.select(F.col("rep").alias("q"), "k1", "k2"), "q").select("k1", "k2", "neighbour", "cosine", "nth")
-    members = rows.select("id", "k1", "k2")
+    listed = listed.join(low.select(F.col("rep").alias("q"), "k1", "k2"), "q").select("k1", "k2", "neighbour", "cosine", "nth")
     out = members.join(listed, ["k1", "k2"]).filter("id <> neighbour")
     out = out.withColumn("nth", F.row_number().over(W.partitionBy("id").orderBy("nth")))
     return out.filter(F.col("nth") <= k).select("id", "neighbour", "cosine")
