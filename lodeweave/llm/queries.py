@@ -23,8 +23,8 @@ def query(f: Query) -> Query:
     return run
 
 
-def _groups(spark: SparkSession, d: str) -> DataFrame:
-    return groups.similarity_groups(table(spark, d, "code_chunks"), "chunk_id", "embedding", ["repo_id", "language"])
+def _groups(spark: SparkSession, d: str, with_vectors: bool = False) -> DataFrame:
+    return groups.similarity_groups(table(spark, d, "code_chunks"), "chunk_id", "embedding", ["repo_id", "language"], with_vectors=with_vectors)
 
 
 @query
@@ -34,7 +34,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    return groups.describe(_groups(spark, d), ["repo_id", "language"])
+    return groups.describe(_groups(spark, d, True), ["repo_id", "language"])
 
 
 def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
