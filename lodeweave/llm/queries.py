@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm import bpe, groups, leaks, near_duplicates, neighbours, splitting
+from lodeweave.llm import abuse, bpe, credentials, groups, leaks, near_duplicates, neighbours, splitting
 from lodeweave.session import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,24 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.record_classes(members, links.persist())
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """Code and files of pull requests as one table."""
+    a = table(spark, d, "code_chunks").select(F.lit("code_chunks").alias("table_name"), F.col("chunk_id").alias("record_id"), F.col("file_path").alias("path"), F.col("raw_code").alias("text"))
+    b = table(spark, d, "pr_files").select(F.lit("pr_files").alias("table_name"), F.col("pr_file_id").alias("record_id"), F.col("filename").alias("path"), F.col("content").alias("text"))
+    return a.unionByName(b)
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.find(_texts(spark, d), ["table_name", "record_id"], "text", "path").select("table_name", "record_id", "line_number").distinct()
+
+
+@query
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    keys = ["table_name", "record_id"]
+    return credentials.redact(_texts(spark, d), credentials.find(_texts(spark, d), keys, "text", "path"), keys, "text")
+
+
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "code_chunks"))
@@ -88,5 +106,17 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.sum("shared_passages").alias("shared_passages"))
 
 
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.score(table(spark, d, "documents")).filter("score >= 0.5").select("doc_id").distinct()
+
+
+@query
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    scored = abuse.score(docs).join(docs.select("doc_id", "source"), "doc_id")
+    return scored.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("score") >= 0.5).alias("flagged"), F.avg((F.col("score") >= 0.5).cast("double")).alias("rate"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_all)
