@@ -35,7 +35,7 @@ SEXUAL = frozenset(
     geil geile ficken fick sexkontakte kontakte desnuda desnudas desnudo follar polla tetas puta caliente nue nues nu baise baiser bite chatte salope coquine webcam milf hentai xxx uncensored adult""".split()
 )
 MILD_SEX = frozenset("sex sexo sexe naked nackt adult cock dick escort nu bite chatte kontakte caliente webcam uncensored".split())
-THREAT = frozenset("hurt kill burn choke strangle beat stab shoot die destroy umbringen schlagen verprugeln tuer frapper matar golpear fired breathing breathe".split())
+THREAT = frozenset("hurt kill choke strangle beat stab shoot umbringen verprugeln tuer frapper matar golpear".split())
 OBSCENE = frozenset("fuck fucking fucked fucker screw shit shitty fuckers scheisse scheiss merde joder mierda encule foutre verpiss fick arsch cono".split())
 LEXICON = INSULTS | GROUP | SEXUAL | THREAT | OBSCENE
 STRONG = LEXICON - MILD - MILD_SEX - THREAT - frozenset("sorry".split())
@@ -51,11 +51,21 @@ _PHRASES = [
     )
 ]
 _REPORTED = re.compile(
-    r"\b(?:word ?list|wortliste|lista de palabras|liste de mots|code of conduct|verhaltenskodex|code de conduite|codigo de conducta|reported that|reported|had been called|was called|being called|calling somebody|called a|says that|say that|policy|guideline|moderat\w+|comment filter|filter|masked|masks|asserts?|test case|unit test|the rule|rules? forbids?|forbidden|banned|blocklist|blacklist|profanity|slurs?|flagged|quoted?|quote|gemeldet|meldete|signale|a ete (?:traite|appele)|reporto|fue llamado|denuncio|insult(?:s|ed)? (?:are|were|such)|gets you removed|account was blocked|complain\w*)\b"
+    r"\b(?:word ?list|wortliste|lista de palabras|liste de mots|code of conduct|verhaltenskodex|code de conduite|codigo de conducta|reported (?:that|a|an|the user|by)|had been called|(?:was|were|being|been|is) called|calling (?:somebody|someone|people|others|a)"
+    r"|called (?:him|her|me|them|somebody|someone) an?|gets you removed|account was (?:blocked|closed)|comment filter|profanity|slurs?|blocklist|asserts that|must be masked|is masked|are masked|words like|terms like|such as|the words?|phrases? (?:like|such)|is (?:forbidden|banned|not allowed|prohibited)|are (?:forbidden|banned|not allowed|prohibited)"
+    r"|meldete dass|wurde (?:als|gemeldet)|beleidigung\w*|beschimpft|a signale|a ete (?:traite|appele|qualifie)|traite de|reporto que|fue llamado|habia sido|insultos?|insultes?|moderation (?:log|queue|report))\b"
 )
-_SELF = re.compile(r"\bi (?:was|am|feel|felt|must be|must have been|have been)\b|\bi m\b|\bfrom me\b|\bmy (?:own )?(?:stupid|dumb|fault|bad|mistake|brain)\b|\bsorry for\b|\b(?:stupid|dumb) question\b|\bich (?:war|bin)\b|\bje suis\b|\bj etais\b|\b(?:soy|fui|estaba)\b|\bshame on me\b|\bmea culpa\b|\bme for\b")
+_NOUNS = "|".join(sorted(INSULTS))
+_SELF = re.compile(
+    rf"\b(?:i (?:was|am|feel|felt|m|must be|must have been|have been|look|looked) (?:an? |so |such an? |too |being |just |really |the )*(?:{_NOUNS})|ich (?:war|bin) (?:ein |so |zu )*(?:{_NOUNS})|je (?:suis|me sens) (?:un |une |trop |vraiment )*(?:{_NOUNS})|soy (?:un |una |muy )*(?:{_NOUNS}))\b"
+    r"|\bj etais\b|\b(?:stupid|dumb) (?:question|me|of me)\b|\bquestion from me\b|\bmy (?:own )?(?:stupid|dumb|lazy|fault|bad|mistake)\b|\bsorry for the\b|\bshame on me\b|\bmea culpa\b|\bidiot of myself\b|\bcall me\b"
+)
+#: A word of the lexicon next to what it means in technical use.
 _TECHNICAL = re.compile(
-    r"\b(?:pointer|process|processes|child|children|parent|daemon|thread|worker|collector|terminal|column|table|records?|proof|performance|compiler|mistake|bug|event|nullable|build|server|hot path|master|slave|queue|cache|loop|signal|sigkill|connection|socket|job|container|node|hung|hang|orphan|zombie|pipeline|string|path|repeat\w*|benchmark|down again|gender|m x or)\b"
+    r"\b(?:kill(?:s|ed|ing)? (?:the |a |all |every |its )*(?:\w+ )?(?:child|children|process|processes|worker|workers|job|jobs|thread|threads|server|daemon|connection|session|container|task|query|signal|switch)"
+    r"|(?:naked|nude|nackter?) (?:pointer|eye|type|return|new|domain|exception|zeiger|except)|\w+ proof|proof against|(?:dumb|stupid|useless) (?:terminal|pipe|client|mode|proxy|mistake|mistakes|bug|bugs|typo|error|default|warning|thing|code|branch|check|cache|loop|test|hack|workaround|import)"
+    r"|garbage (?:collect\w*|data|values?|bytes|after|in|output|characters|text|heap)|prints garbage|trash (?:folder|can|bin|icon|table)|(?:column|field|attribute|table) sex|sex (?:column|field|of the|is nullable|attribute)|adult (?:and|or) (?:child|minor)|child(?:ren)? and adult|adult (?:records?|tickets?|fares?)"
+    r"|hurts? (?:performance|latency|throughput|readability|the|our|cache)|performance badly|beat the|(?:hot|slow) path|lazy (?:load\w*|eval\w*|init\w*|import\w*|val\w*|seq\w*|list|field|join|iterator)|shoot (?:the|a) (?:worker|process|node)|race condition|parasite (?:capacitance|thread)|choke (?:on the|point)|strangler?|(?:escort|pig) (?:latin|query|script)|stab(?:le)? at|screw (?:up|ups|driver|thread))\b"
 )
 _ZERO = re.compile("[­​-‏ - ⁠-⁤﻿]")
 #: Letters of other scripts that look like Latin ones, in pairs (fixed values).
@@ -89,10 +99,10 @@ def lexicon_word(token: str) -> tuple[str, bool] | None:
     if token in LEXICON:
         return token, False
     t = token
-    if not t.isalpha():
+    if not t.isalpha() and any(map(str.isalpha, t)):
         u = t.translate(_LEET)
         for v in (u, _STRETCH.sub(r"\1", u)):
-            if v in STRONG or v in SEXUAL or v in THREAT or v in OBSCENE:
+            if v in STRONG or v in LEXICON and (len(v) > 4 or v in SEXUAL):
                 return v, True
         if _MASKED.search(t[1:-1]) and t[0].isalpha() and t[-1].isalpha():
             for w in _by_shape.get((t[0], t[-1], len(t)), ()):
@@ -164,32 +174,32 @@ class LabelModel:
     """Naive Bayes over vote patterns: class prior and, for each voter, how often it votes so in each class."""
 
     def __init__(self, counts: dict[str, float], rounds: int = 60):
-        pats = list(counts)
+        pats = [p for p in counts if "1" in p]  # a sentence without any vote for it is taken as clean
         n = np.array([counts[p] for p in pats], float)
         k = len(VOTERS)
         votes = np.array([[{"1": 1, "0": 0, "-": -1}[c] for c in p] for p in pats]).reshape(len(pats), k)
         self.kinds = [(j, s) for j in range(k) for s in (0, 1)]
         on = np.stack([(votes[:, j] == s).astype(float) for j, s in self.kinds], 1) if pats else np.zeros((0, 2 * k))
-        pos, neg = (votes == 1).sum(1), (votes == 0).sum(1)
-        q = np.clip(0.5 + 0.22 * pos - 0.35 * neg * (votes[:, 10:] == 0).any(1), 0.02, 0.98)  # majority of votes as a start
-        q[pos == 0] = 0.005
-        self.weight = np.ones(len(self.kinds))
+        against = (votes == 0).any(1)
+        q = np.where(against, 0.15, 0.9)  # the vote against decides at the start
+        self.weight, self.prior = np.ones(len(self.kinds)), 0.5
         for r in range(rounds):
             w1, w0 = n * q, n * (1 - q)
-            self.prior = float(np.clip(w1.sum() / max(n.sum(), 1), 1e-4, 0.5))
-            p1, p0 = (w1 @ on + 0.5) / (w1.sum() + 2), (w0 @ on + 0.5) / (w0.sum() + 2)
+            self.prior = float(np.clip((w1.sum() + 1) / (n.sum() + 2), 0.05, 0.95))
+            p1, p0 = (w1 @ on + 0.5) / (w1.sum() + 1), (w0 @ on + 0.5) / (w0.sum() + 1)
             self.llr = np.log(p1 / p0)
-            for i, (_, s) in enumerate(self.kinds):  # a voter is better than chance on its side
-                self.llr[i] = np.clip(self.llr[i], 0.05, 6) if s else np.clip(self.llr[i], -6, -0.05)
+            for i, (_, s) in enumerate(self.kinds):  # a voter is no worse than chance on its side
+                self.llr[i] = np.clip(self.llr[i], 0.7, 4) if s else np.clip(self.llr[i], -5, -3)
             if r == rounds // 2 and len(pats):  # residual correlations: what the label leaves unexplained
                 res = np.concatenate([on - p1, on - p0])
                 ww = np.concatenate([w1, w0])
                 cov = (res * ww[:, None]).T @ res / ww.sum()
                 sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
                 corr = np.clip(cov / sd[:, None] / sd[None, :], 0, 1)
-                self.weight = 1 / (1 + (corr * (corr > 0.2)).sum(1) - 1 * (np.diag(corr) > 0.2))
+                np.fill_diagonal(corr, 0)
+                self.weight = 1 / (1 + (corr * (corr > 0.2)).sum(1))
+                self.weight[[i for i, (_, side) in enumerate(self.kinds) if not side]] = 1  # votes against overlap little
             q = 1 / (1 + np.exp(-np.clip(np.log(self.prior / (1 - self.prior)) + on @ (self.llr * self.weight), -30, 30)))
-            q[pos == 0] = np.minimum(q[pos == 0], 0.01)
         self.posterior = dict(zip(pats, q, strict=True))
 
 

@@ -29,7 +29,7 @@ _PEM = re.compile(r"-----BEGIN (?!PUBLIC|CERTIFICATE|ENCRYPTED)(?:[A-Z0-9]+ )*PR
 _PEM_BODY = re.compile(r"(?:\\r|\\n|[\s\"'`+,;(){}\[\]\\#/*>|]|Proc-Type: [^\n]*|Version: [^\n]*)*([A-Za-z0-9+/]{32,}|[A-Za-z0-9+/=]{24,})")
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@\"'<>`]*:([^\s@/\"'<>`]+)@")
 _USER = re.compile(r"(?:-u|--user|--proxy-user)[ =][\"']?[^\s:\"']+:([^\s\"']+)")
-_PAIR = re.compile(r"(?i)(?:^|[;&?,\s\"'])((?:[a-z]+_?)?(?:password|passwd|pwd|secret|token|api_?key|access_?key|account_?key))=([^;&\s\"'<>`]+)")
+_PAIR = re.compile(r"(?i)[;&?\"']((?:[a-z]+_?)?(?:password|passwd|pwd|secret|token|api_?key|access_?key|account_?key))=([^;&\s\"'<>`]+)")
 _SCHEME = re.compile(r"\b(Bearer|Basic|Token)\s+([A-Za-z0-9+/_.=~-]{8,})")
 _JOINED = re.compile(r"([\"'`])([^\"'`\n]{2,})\1\s*(?:\+|\.\.?|\\\n)\s*([\"'`])([^\"'`\n]{2,})\3")
 _NAME = r"[A-Za-z_$@][\w$.\-]*"
@@ -37,11 +37,40 @@ _QUOTED = re.compile(rf"({_NAME})[\"'\]]*\s*(?::=|=>|=|:|\s*:\s*[\w<>\[\]., ]+=)
 _BARE = re.compile(rf"^\s*(?:(?:#|//|;|--|/?\*+)\s*)?(?:(?:export|ENV|ARG|set|SET|-)\s+)*[\"']?({_NAME})[\"']?\s*[=:]\s*([^\s\"'`<>(){{}}\[\],]+(?:\[[^\]\s]*\])?)\s*[;,]?\s*$")
 _ENV = re.compile(rf"^\s*(?:ENV|ARG)\s+({_NAME})[ =]([^\s\"'`]+)\s*$")
 _XML = re.compile(r"<([A-Za-z_][\w.-]*)>([^<>\s]+)</\1>")
-_NOTE = re.compile(rf"(?:#|//|/\*|\*|--|<!--|;)[^\n]*?\b({_SECRET_WORD})\b\s*(?:is|was|[:=])\s*[\"'`]?([^\s\"'`<>]+)", re.I)
+_NOTE = re.compile(rf"(?:^|\s)(?:#|//|/\*|\*|--|<!--|;)\s[^\n]*?\b({_SECRET_WORD})\b\s*(?:is|was|[:=])\s*[\"'`]?([^\s\"'`<>]+)", re.I)
+_PASS_NOTE = re.compile(rf"(?:#|//|/\*)[^\n]*\b(?:{_SECRET_WORD})\s*\)?\s*(?:\*/)?$", re.I)
 _CALL = re.compile(r"[\"']([A-Za-z_][\w-]*)[\"']\s*,\s*([\"'])([^\"'\n]{6,})\2")
-_HINT = re.compile(
-    r"(?i:pass|pwd|secret|token|key|cred|bearer|auth|login|_pw|pw\b|private key|basic )|AKIA|ASIA|gh[pousr]_|xox|glpat-|sk-|eyJ|_live_|AIza|://[^\s/]*:[^\s/]*@|\s-u ", re.A
-)
+#: Strings, in lower case, one of which stands on every line with a candidate.
+_HINTS = ("pass", "pwd", "secret", "token", "key", "cred", "bearer", "auth", "login", "pw", "private", "basic ", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xox", "glpat-", "sk-", "eyj", "_live_", "_test_", "_prod_", "aiza", "sg.", "npm_", "://", "-u ", "--user", "user=")
+_LOWER = {c: c + 32 for c in range(65, 91)}
+_hints = None
+
+
+def hinted_lines(text: str) -> list[tuple[int, int, int]]:
+    """(number, start, end) of the lines with a hint, in order."""
+    global _hints
+    if _hints is None:
+        import ahocorasick
+
+        _hints = ahocorasick.Automaton()
+        for h in _HINTS:
+            _hints.add_word(h, len(h))
+        _hints.make_automaton()
+    low = text.lower()
+    if len(low) != len(text):
+        low = text.translate(_LOWER)
+    out, number, start, end = [], 1, 0, -2
+    for at, _ in _hints.iter(low):
+        if at < end:
+            continue
+        new = text.rfind("\n", 0, at) + 1
+        number += text.count("\n", start, new)
+        start, end = new, text.find("\n", at)
+        end = len(text) if end < 0 else end
+        out.append((number, start, end))
+    return out
+
+
 _PLACEHOLDER = re.compile(
     r"(?i)^(?:x{3,}|\*{3,}|\.{3,}|-+|_+|0+|1234\w*|abc123|change[_-]?me\w*|replace[_-]?\w*|your[_-].*|my[_-].*|insert[_-].*|todo\w*|tbd|none|null|nil|undefined|true|false|default|dummy\w*|sample\w*|placeholder\w*|redacted|hidden|secret|password|passwd|token|test|foo\w*|bar|fake\w*|not[_-]?set|unset|empty|n/?a)$"
     r"|x{6,}|\*{4,}|example|redacted|placeholder|changeme|dummy|your[_-]|from[_-]?(?:vault|env)|<[^>]*>"
@@ -59,11 +88,8 @@ def candidates(text: str, path: str) -> list[tuple[int, int, int, str, str, str]
     """(line, start, end, kind, identifier, value) of every literal that may be a credential; offsets within the text."""
     out: dict[tuple[int, int], tuple[int, int, int, str, str, str]] = {}
     config = bool(_CONFIG.search(path or ""))
-    at = 0
-    for number, line in enumerate(text.split("\n"), 1):
-        start, at = at, at + len(line) + 1
-        if not _HINT.search(line):
-            continue
+    for number, start, end in hinted_lines(text):
+        line = text[start:end]
         if (m := _PEM.search(line)) and (b := _PEM_BODY.match(text, start + m.end())) and b[1]:
             out[(start + m.start(), 0)] = (number, start + m.start(), start + m.end(), "pem", "", m[0])
             continue
@@ -74,12 +100,11 @@ def candidates(text: str, path: str) -> list[tuple[int, int, int, str, str, str]
             if b - a >= 4 and (key not in out or out[key][3] in ("quoted", "bare")):
                 out[key] = (number, start + a, start + b, kind, name, value or line[a:b])
 
-        joined = line
         for m in _QUOTED.finditer(line):
             rest = _JOINED.match(line, m.start(2))
             add("quoted", m[1], m.start(3), m.end(3) if not rest else rest.end(4), None if not rest else rest[2] + rest[4])
         for m in _CALL.finditer(line):
-            add("quoted", m[1], m.start(3), m.end(3))
+            add("quoted", "password" if _PASS_NOTE.search(line, m.end()) else m[1], m.start(3), m.end(3))
         for m in _XML.finditer(line):
             add("quoted", m[1], m.start(2), m.end(2))
         if config or line.lstrip()[:1] == "#" or line.lstrip()[:2] == "//":
@@ -88,7 +113,7 @@ def candidates(text: str, path: str) -> list[tuple[int, int, int, str, str, str]
                     add("bare", m[1], m.start(2), m.end(2))
         for m in _NOTE.finditer(line):
             add("note", m[1], m.start(2), m.end(2))
-        for m in _FORMAT.finditer(joined):
+        for m in _FORMAT.finditer(line):
             add("format", "", m.start(), m.end())
         for m in _URL.finditer(line):
             add("url", "password", m.start(1), m.end(1))
@@ -172,7 +197,6 @@ def find(df: DataFrame, keys: list[str], text: str, path: str, sample_rows: int
     """
     ks = [f"k{i}" for i in range(len(keys))]
     texts = df.filter(F.col(text).isNotNull()).select(*(F.col(k).cast("string").alias(a) for k, a in zip(keys, ks, strict=True)), F.col(path).cast("string").alias("path"), F.col(text).alias("text"))
-    texts = texts.filter(F.col("text").rlike(_HINT.pattern.replace("(?i:", "(?i:")))
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

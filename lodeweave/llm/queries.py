@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm import abuse, bpe, credentials, groups, leaks, near_duplicates, neighbours, splitting
+from lodeweave.llm import abuse, bpe, credentials, groups, leaks, near_duplicates, neighbours, provenance, splitting
 from lodeweave.session import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,16 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return credentials.redact(_texts(spark, d), credentials.find(_texts(spark, d), keys, "text", "path"), keys, "text")
 
 
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.classify(table(spark, d, "code_chunks")).select("repo_id", "file_path")
+
+
+@query
+def p5_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.classify(table(spark, d, "code_chunks")).groupBy("repo_id", "reason").agg(F.count(F.lit(1)).alias("files"))
+
+
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "code_chunks"))
