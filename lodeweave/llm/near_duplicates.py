@@ -1,11 +1,14 @@
 """Problem 2: near-duplicate records by Golay-code fuzzy hashing, join and exact verification.
 
-The fingerprint of a record has ``segments`` segments of 23 bits. Segment j orders the record's shingles by a hash j: the
-first shingle addresses the segment (min-hash) and gives its base word, each of the ``follow`` next shingles flips one bit of
-it. A shingle that is replaced among these is at most two bit errors, and words within two errors share a Golay codeword
-index; so a segment yields its up to six nearby codeword indices as keys, together with its address. By the pigeonhole
-principle errors cannot be spread over all segments at once: at a similarity of 0.6 a segment collides with a probability of
-about 0.45, and of 16 segments one does with 0.9999. Pairs that share a key are then verified on their whole shingle sets.
+The fingerprint of a record has segments of 23 bits. Segment j orders the record's shingles by a hash j: the first ones (one or
+two) are the segment's address and give its base word, each of the ``follow`` next shingles flips one bit of it. A shingle that
+is replaced among these is at most two bit errors, and words within two errors share a Golay codeword index; so a segment
+yields its up to six nearby codeword indices as keys, together with its address. By the pigeonhole principle the errors
+cannot spoil all segments at once. Pairs that share a key are verified on their whole shingle sets.
+
+Shingles that stand in very many records would make keys of huge groups. They are counted over all records in one pass (a
+count sketch of fixed size) and left out of a first family of segments; records that consist of them for a large part get a
+second family over all their shingles, addressed by two of them. Verification always takes the whole sets.
 """
 
 from __future__ import annotations
@@ -60,10 +63,10 @@ def shingles(text: str, width: int) -> np.ndarray:
     return np.unique(_mix(s))
 
 
-def fingerprints(sets: list[np.ndarray], segments: int, follow: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def fingerprints(sets: list[np.ndarray], segments: int, follow: int, pivots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of all segments of the non-empty sets."""
     sizes = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
+    flat = np.concatenate(sets).astype(np.uint64)
     start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     mult = np.random.default_rng(seed).integers(1, 1 << 63, segments, dtype=np.uint64) * _U(2) + _U(1)
     top = _U(0xFFFFFFFFFFFFFFFF)
@@ -72,26 +75,31 @@ def fingerprints(sets: list[np.ndarray], segments: int, follow: int, seed: int =
         h = _mix(flat * mult[j])
         least = np.minimum.reduceat(h, start)
         address = least
-        word = (_mix(least) & _U(0x7FFFFF)).astype(np.int64)
+        for _ in range(pivots - 1):
+            h[h == np.repeat(least, sizes)] = top
+            least = np.minimum.reduceat(h, start)
+            address = _mix(address) ^ least
+        word = (_mix(address) & _U(0x7FFFFF)).astype(np.int64)
         for _ in range(follow):
             h[h == np.repeat(least, sizes)] = top
             least = np.minimum.reduceat(h, start)
             word ^= np.where(least == top, 0, np.int64(1) << (least % _U(23)).astype(np.int64))
         r, index = golay.keys(word)
         rows.append(r)
-        out.append(_mix(address[r] * _U(4096) + index.astype(np.uint64) + _U((j * 0x51ED270B7F4A7C15) % (1 << 64))))
+        out.append(_mix(address[r] * _U(4096) + index.astype(np.uint64) + _U(((seed * 64 + j) * 0x51ED270B7F4A7C15) % (1 << 64))))
     return np.concatenate(rows), np.concatenate(out).view(np.int64)
 
 
 def shingle_sets(df: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """``id``, ``node`` (a 64-bit hash of the shingle set), ``n`` and ``set`` (packed 64-bit shingles)."""
+    """``id``, ``node`` (a 64-bit hash of the shingle set), ``n`` and ``set`` (packed 32-bit shingles, sorted)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t, width) for t in b.column(1).to_pylist()]
             node = [int(np.bitwise_xor.reduce(_mix(s + _U(len(s))), initial=_U(len(s)))) for s in sets]
+            small = [np.unique((s >> _U(32)).astype(np.uint32)) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                [b.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array([len(s) for s in small], pa.int32()), pa.array([s.tobytes() for s in small], pa.binary())],
                 names=["id", "node", "n", "set"],
             )
 
@@ -99,9 +107,41 @@ def shingle_sets(df: DataFrame, id_col: str, text: str, width: int) -> DataFrame
     return picked.mapInArrow(run, "id string, node long, n int, set binary")
 
 
-def near_duplicates(df: DataFrame, id_col: str, text: str, width: int = 3, threshold: float = 0.6, segments: int = 16, follow: int = 3) -> tuple[DataFrame, DataFrame]:
+_SLOTS, _SLICES = 1 << 20, 64
+
+
+def common_shingles(nodes: DataFrame, limit: float) -> np.ndarray:
+    """For each of 2^20 slots of shingles, whether it holds more than ``limit`` records above the average slot.
+
+    Every task sums its records in one table of fixed size; the tables are added slice by slice.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_SLOTS, np.int32)
+        for b in batches:
+            flat = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint32)
+            total += np.bincount(flat >> 12, minlength=_SLOTS).astype(np.int32)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(_SLICES, dtype=np.int32)), pa.array([x.tobytes() for x in np.split(total, _SLICES)], pa.binary())], names=["slice", "counts"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x, np.int32).astype(np.int64) for x in t.column("counts").to_pylist()], axis=0)
+        return pa.table({"slice": t.column("slice").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    parts = nodes.select("set").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").toArrow().to_pydict()
+    counts = np.zeros((_SLICES, _SLOTS // _SLICES), np.int64)
+    for i, x in zip(parts["slice"], parts["counts"], strict=True):
+        counts[i] = np.frombuffer(x, np.int64)
+    counts = counts.ravel()
+    return counts > limit + 2 * counts.mean()
+
+
+def near_duplicates(df: DataFrame, id_col: str, text: str, width: int = 3, threshold: float = 0.6, segments: int = 14, follow: int = 3, common: float = 0.1, mixed: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """(members, links): ``id, node, n`` of every record, and ``node_a, node_b, agreement`` of every similar pair of nodes.
 
+    A shingle is common that stands in more than ``common`` times the square root of the number of records; a record gets the
+    second family of segments where less than ``mixed`` of its shingles are not common.
+
     Records of one shingle set are one node, so copies are never paired with each other, however many there are. The
     agreement is the exact Jaccard similarity of the sets of ``width``-word runs. A null text or id is left out; a text with
     fewer than ``width`` words has an empty set, which agrees with nothing; rows of a repeated id count each. An empty table
@@ -110,19 +150,29 @@ def near_duplicates(df: DataFrame, id_col: str, text: str, width: int = 3, thres
     sets = shingle_sets(df, id_col, text, width).filter("n > 0").persist()
     members = sets.select("id", "node", "n")
     nodes = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("set").alias("set")).persist()
+    frequent = common_shingles(nodes, max(8.0, common * nodes.count() ** 0.5))
+    packed = np.packbits(frequent)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.unpackbits(packed).astype(bool)
         for b in batches:
-            node, n, raw = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
+            node, raw = b.column(0).to_numpy(), b.column(1).to_pylist()
             for i in range(0, len(raw), 1024):
-                r, key = fingerprints([np.frombuffer(x, np.uint64) for x in raw[i : i + 1024]], segments, follow)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[i + r]), pa.array(n[i + r])], names=["key", "node", "n"])
+                all_ = [np.frombuffer(x, np.uint32) for x in raw[i : i + 1024]]
+                rare = [x[~flags[x >> 12]] for x in all_]
+                for pivots, at, chosen in (
+                    (1, [k for k, x in enumerate(rare) if len(x)], rare),
+                    (2, [k for k, x in enumerate(rare) if len(x) < mixed * len(all_[k])], all_),
+                ):
+                    if at:
+                        r, key = fingerprints([chosen[k] for k in at], segments, follow, pivots, pivots)
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[i + np.array(at)[r]])], names=["key", "node"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep, value = [], []
             for i, (x, y) in enumerate(zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
                 both = np.concatenate([x, y])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
@@ -132,10 +182,11 @@ def near_duplicates(df: DataFrame, id_col: str, text: str, width: int = 3, thres
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("node_a").take(at), b.column("node_b").take(at), pa.array(value, pa.float64())], names=["node_a", "node_b", "agreement"])
 
-    keys = nodes.select("node", "n", "set").mapInArrow(keyed, "key long, node long, n int")
-    a, b = keys.toDF("key", "node_a", "n_a"), keys.toDF("key", "node_b", "n_b")
-    fits = (F.col("node_a") < F.col("node_b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-    cand = a.hint("merge").join(b, (a["key"] == b["key"]) & fits).select("node_a", "node_b").distinct()
+    keys = nodes.select("node", "set").mapInArrow(keyed, "key long, node long").repartition("key").persist()
+    a, b = keys.toDF("key", "node_a"), keys.toDF("key", "node_b")
+    cand = a.hint("merge").join(b, "key").filter("node_a < node_b").select("node_a", "node_b").distinct()  # both sides keep the partitioning of ``keys``
+    sizes = nodes.select("node", "n")
+    cand = cand.join(sizes.toDF("node_a", "n_a"), "node_a").join(sizes.toDF("node_b", "n_b"), "node_b").filter(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9).select("node_a", "node_b")
     cand = cand.join(nodes.select(F.col("node").alias("node_a"), F.col("set").alias("set_a")), "node_a")
     cand = cand.join(nodes.select(F.col("node").alias("node_b"), F.col("set").alias("set_b")), "node_b")
     links = cand.select("node_a", "node_b", "set_a", "set_b").mapInArrow(verify, "node_a long, node_b long, agreement double")
