@@ -24,18 +24,18 @@ def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, min_cos: float
     collection into shards of about ``shard_rows`` rows; each shard gets a robust-pruned graph over its own rows and answers
     its own rows and those whose centre it is nearly as near to (``slack``, at most ``shards_per_query``). The recall against
     brute force is measured in the tests. Copies of one vector are searched once, so a group of copies, however large, is
-    one node; its members get their own copies as neighbours by rule.
+    one node, named by a 64-bit hash of the vector; its members get their own copies as neighbours by rule.
 
     Null, zero, NaN-bearing vectors and null ids are left out; the vectors must be of one length; repeated ids count once
     (the least vector); an empty table gives an empty result.
     """
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     rows = pack(rows.filter(F.col("id").isNotNull()), "v", ["id"])
-    rows = rows.withColumn("k1", F.xxhash64("vec")).withColumn("k2", F.xxhash64("vec", F.lit(1))).persist()
-    nodes = rows.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("vec").alias("vec")).persist()
-    members = rows.groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("m")).select("id", "m.k1", "m.k2").persist()
-    first = members.withColumn("nth", F.row_number().over(W.partitionBy("k1", "k2").orderBy("id"))).filter(F.col("nth") <= k + 1)
-    low = nodes.select("k1", "k2", "rep").join(first.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("id")).alias("ids")), ["k1", "k2"]).persist()
+    rows = rows.withColumn("k1", F.xxhash64("vec")).persist()
+    nodes = rows.groupBy("k1").agg(F.first("vec").alias("vec")).persist()
+    members = rows.groupBy("id").agg(F.min("k1").alias("k1")).persist()
+    first = members.withColumn("nth", F.row_number().over(W.partitionBy("k1").orderBy("id"))).filter(F.col("nth") <= k + 1)
+    low = first.groupBy("k1").agg(F.array_sort(F.collect_list("id")).alias("ids")).persist()  # at most k + 1 ids of a vector
     n = nodes.count()
     every = max(1, n // sample_rows)
     sample = nodes.filter(F.pmod("k1", F.lit(every)) == 0).select("vec").limit(2 * sample_rows).toArrow().column(0)
@@ -52,35 +52,35 @@ def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, min_cos: float
             v = unpack(b.column(1))
             cells, good = trees.probes(v, centres, shards_per_query, slack)
             r, c = np.nonzero(good)
-            yield pa.RecordBatch.from_arrays([pa.array(cells[r, c]), pa.array(c == 0), b.column(0).take(pa.array(r)), b.column(1).take(pa.array(r))], names=["cell", "home", "rep", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(cells[r, c]), pa.array(c == 0), b.column(0).take(pa.array(r)), b.column(1).take(pa.array(r))], names=["cell", "home", "node", "vec"])
 
     def answer(t: pa.Table) -> pa.Table:
         v = unpack(t.column("vec"))
         home = t.column("home").to_numpy()
         base = np.nonzero(home)[0]
         if len(base) == 0:
-            return pa.table({"q": pa.array([], pa.string()), "nb": pa.array([], pa.string()), "cosine": pa.array([], pa.float64())})
+            return pa.table({"q": pa.array([], pa.int64()), "nb": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
         g = RobustGraph(v[base], degree, beam)
         entry = np.full(len(v), -1, np.int32)
         entry[base] = np.arange(len(base))
         ids, sims = g.search(v, beam=max(k + 3, beam * 2 // 3), entry=entry, expand=4)
         sims = np.where((ids < 0) | (ids == entry[:, None]), -9, sims)
+        ids, sims = ids[:, : k + 3], sims[:, : k + 3]  # best first; one may be the query itself
         r, c = np.nonzero(sims >= min_cos - 1e-3)
         to = base[ids[r, c]]
         cos = np.einsum("nd,nd->n", v[r].astype(np.float64), v[to].astype(np.float64))
         ok = cos >= min_cos
-        names = t.column("rep").combine_chunks()
-        return pa.table({"q": names.take(pa.array(r[ok])), "nb": names.take(pa.array(to[ok])), "cosine": pa.array(cos[ok])})
+        names = t.column("node").to_numpy()
+        return pa.table({"q": names[r[ok]], "nb": names[to[ok]], "cosine": cos[ok]})
 
-    routed = nodes.select("rep", "vec").mapInArrow(route, "cell int, home boolean, rep string, vec binary")
-    found = routed.groupBy("cell").applyInArrow(answer, "q string, nb string, cosine double")
-    best = W.partitionBy("q").orderBy(F.col("cosine").desc(), "nb")
-    classes = found.dropDuplicates(["q", "nb"]).withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k + 1).select("q", "nb", "cosine")
-    own = low.filter(F.size("ids") > 1).select(F.col("rep").alias("q"), F.col("rep").alias("nb"), F.lit(1.0).alias("cosine"))
-    wide = classes.unionByName(own).join(low.select(F.col("rep").alias("nb"), "ids"), "nb").select("q", "cosine", F.explode("ids").alias("neighbour"))
-    listed = wide.withColumn("nth", F.row_number().over(W.partitionBy("q").orderBy(F.col("cosine").desc(), "neighbour"))).filter(F.col("nth") <= k + 1)
-    listed = listed.join(low.select(F.col("rep").alias("q"), "k1", "k2"), "q").select("k1", "k2", "neighbour", "cosine", "nth")
-    out = members.join(listed, ["k1", "k2"]).filter("id <> neighbour")
+    routed = nodes.select("k1", "vec").mapInArrow(route, "cell int, home boolean, node long, vec binary")
+    found = routed.groupBy("cell").applyInArrow(answer, "q long, nb long, cosine double")
+    best = W.partitionBy("q").orderBy(F.col("cosine").desc(), "nb")  # a node is indexed by one shard, so no pair comes twice
+    classes = found.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k + 1).select("q", "nb", "cosine")
+    own = low.filter(F.size("ids") > 1).select(F.col("k1").alias("q"), F.col("k1").alias("nb"), F.lit(1.0).alias("cosine"))
+    wide = classes.unionByName(own).join(low.select(F.col("k1").alias("nb"), "ids"), "nb").select(F.col("q").alias("k1"), "cosine", F.explode("ids").alias("neighbour"))
+    listed = wide.withColumn("nth", F.row_number().over(W.partitionBy("k1").orderBy(F.col("cosine").desc(), "neighbour"))).filter(F.col("nth") <= k + 1)
+    out = members.join(listed, "k1").filter("id <> neighbour")
     out = out.withColumn("nth", F.row_number().over(W.partitionBy("id").orderBy("nth")))
     return out.filter(F.col("nth") <= k).select("id", "neighbour", "cosine")
 
