@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm import abuse, bpe, credentials, groups, leaks, near_duplicates, neighbours, provenance, splitting
+from lodeweave.llm import abuse, bpe, credentials, groups, leaks, near_duplicates, neighbours, provenance, splitting, syntax
 from lodeweave.session import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,25 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return credentials.redact(_texts(spark, d), credentials.find(_texts(spark, d), keys, "text", "path"), keys, "text")
 
 
+def _syntax(spark: SparkSession, d: str) -> DataFrame:
+    """Whole files of ``code_chunks`` with the sha of their commit; a commit delivered again counts once."""
+    files = table(spark, d, "code_chunks").filter((F.col("chunk_type") == "module") & F.col("raw_code").isNotNull()).select("repo_id", "commit_id", "file_path", "language", "raw_code")
+    judged = syntax.unparsable(files, ("repo_id", "commit_id", "file_path"))
+    return judged.join(table(spark, d, "commits").select("commit_id", "sha").distinct(), "commit_id")
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _syntax(spark, d).filter("cost > 0").select("sha", "file_path").distinct()
+
+
+@query
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    bad = F.col("cost") > 0
+    counts = [F.count_if(bad & (F.col("error_kind") == k)).alias(k) for k in ("truncation", "conflict", "mismatch", "edit")]
+    return _syntax(spark, d).groupBy("repo_id", "language").agg(F.count(F.lit(1)).alias("files"), F.count_if(bad).alias("unparsable"), F.avg(bad.cast("double")).alias("rate"), *counts)
+
+
 @query
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return provenance.classify(table(spark, d, "code_chunks")).select("repo_id", "file_path")
