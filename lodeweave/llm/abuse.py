@@ -200,6 +200,7 @@ class LabelModel:
                 self.weight = 1 / (1 + (corr * (corr > 0.2)).sum(1))
                 self.weight[[i for i, (_, side) in enumerate(self.kinds) if not side]] = 1  # votes against overlap little
             q = 1 / (1 + np.exp(-np.clip(np.log(self.prior / (1 - self.prior)) + on @ (self.llr * self.weight), -30, 30)))
+        q = np.where(against, q, np.maximum(q, 0.75))  # voters are better than chance: votes for without one against are more likely right
         self.posterior = dict(zip(pats, q, strict=True))
 
 
@@ -275,7 +276,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text: str = "text", sample_rows
                     p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                     if "1" not in v:
                         p = min(p, 0.9) if p > 0.8 else p * 0.5  # without any vote for it, only a sure sentence counts
-                    p = 0.5 * p + 0.5 * posterior.get(v, p)
+                    p = 0.3 * p + 0.7 * posterior.get(v, p)
                     if at is None or p > top:
                         top, at = float(p), i
                 best.append(top)
