@@ -10,7 +10,7 @@ from lodeweave.functions import fixed_values as V
 from lodeweave.functions import text as X
 from lodeweave.operators import cluster, debt, detectors, review, rules, tables, vectors
 from lodeweave.plans.registry import register
-from lodeweave.session import ship, table
+from lodeweave.session import ship, spread, table
 
 
 def _chunks(s: SparkSession, d: str) -> DataFrame:
@@ -292,7 +292,7 @@ def _detector_sql(name: str) -> str:
 def _detector(name: str):
     def run(s: SparkSession, d: str) -> DataFrame:
         """A line detector over all chunks: the first rule that fits."""
-        x = X.explode_lines(_chunks(s, d).select("chunk_id", "language", "raw_code"), "raw_code", "chunk_id", "language")
+        x = X.explode_lines(spread(_chunks(s, d).select("chunk_id", "language", "raw_code")), "raw_code", "chunk_id", "language")
         return x.withColumn("rule", detectors.first_rule(name)).filter("rule is not null").select("chunk_id", "line_number", "rule")
 
     return run
@@ -307,7 +307,7 @@ e AS (SELECT *, -list_sum(list_transform(list_distinct(string_split(value, '')),
 SELECT chunk_id, line_number, value, round(x, 6) AS entropy FROM e WHERE round(x, 6) >= 3.0""")
 def detect_secrets_entropy(s: SparkSession, d: str) -> DataFrame:
     """D1b, X4 with the plug-in's threshold of 3 bits."""
-    return detectors.entropy_findings(_chunks(s, d), "raw_code", "chunk_id", threshold=3.0)
+    return detectors.entropy_findings(spread(_chunks(s, d).select("chunk_id", "raw_code")), "raw_code", "chunk_id", threshold=3.0)
 
 
 @register()
@@ -354,7 +354,7 @@ _FORBIDDEN = {"python": ["logging", "token"], "java": ["java.util"], "ruby": ["t
 )
 def rules_imports(s: SparkSession, d: str) -> DataFrame:
     """R4, J15."""
-    return rules.forbidden_imports(_chunks(s, d), "raw_code", _FORBIDDEN, "chunk_id")
+    return rules.forbidden_imports(spread(_chunks(s, d).select("chunk_id", "language", "raw_code")), "raw_code", _FORBIDDEN, "chunk_id")
 
 
 @register("SELECT chunk_id, array_to_string(list_sort(list_filter(list_distinct(list_transform(regexp_extract_all(replace(regexp_replace(chunk_name, '([a-z])([A-Z])', '\\1 \\2', 'g'), '_', ' '), '[a-zA-Z]{3,}'), lambda x: lower(x))), lambda x: NOT list_contains([" + ", ".join(f"'{w}'" for w in V.STOP_WORDS) + "], x))), ' ') AS tokens FROM code_chunks")
@@ -385,7 +385,8 @@ def severity_pivot(s: SparkSession, d: str) -> DataFrame:
 
 
 def _pr_findings(s: SparkSession, d: str) -> DataFrame:
-    f = table(s, d, "pr_files").select("pr_id", "pr_file_id", "filename", "content").distinct().filter(~X.should_skip("filename", "content"))
+    f = table(s, d, "pr_files").select("pr_id", "pr_file_id", "filename", "content").distinct()
+    f = spread(f).filter(~X.should_skip("filename", "content"))
     f = f.withColumn("language", F.coalesce(X.language_of("filename"), F.lit("")))
     return detectors.findings(f, "content", "language", "pr_id", "pr_file_id")
 

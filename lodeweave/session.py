@@ -46,3 +46,18 @@ def cut(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="lodeweave-checkpoints-")
         sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where the scan gives fewer partitions than there are cores; else the frame as it is.
+
+    A table of a few row groups would keep most cores idle in front of costly expressions; a large one is never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores and cores > 1 and _small(df) else df
+
+
+def _small(df: DataFrame) -> bool:
+    """Whether the plan's estimated size is under 32 MB a core."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size < (32 << 20) * df.sparkSession.sparkContext.defaultParallelism
