@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeweave.session import spread
+
 INSULTS = frozenset(
     """idiot idiots moron morons imbecile imbeciles cretin cretins loser losers clown clowns jerk jerks muppet muppets scumbag scum parasite parasites cockroach
     cockroaches weasel weasels halfwit halfwits dimwit dimwits numbskull blockhead dumbass dumbasses asshole assholes bastard bastards bitch bitches cunt prick twat wanker
@@ -251,7 +253,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text: str = "text", sample_rows
                         kept.append((v, 0, s))
             yield pd.DataFrame([(v, n, None) for v, n in counts.items()] + kept, columns=["pattern", "n", "sentence"])
 
-    texts = df.filter(F.col(text).isNotNull()).select(F.col(text).alias("t"))
+    texts = spread(df.filter(F.col(text).isNotNull()).select(F.col(text).alias("t")))
     voted = texts.mapInPandas(vote, "pattern string, n long, sentence string").persist()
     counts = {r["pattern"]: float(r["n"]) for r in voted.filter("n > 0").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}  # one row per pattern of 14 voters
     model = LabelModel(counts)
@@ -284,5 +286,5 @@ def score(df: DataFrame, id_col: str = "doc_id", text: str = "text", sample_rows
             yield pd.DataFrame({"i": b["i"], "score": best, "worst": worst})
 
     kind = dict(df.select(id_col).dtypes)[id_col]
-    out = df.select(F.col(id_col).alias("i"), F.col(text).alias("t")).mapInPandas(rate, f"i {kind}, score double, worst int")
+    out = spread(df.select(F.col(id_col).alias("i"), F.col(text).alias("t"))).mapInPandas(rate, f"i {kind}, score double, worst int")
     return out.withColumnRenamed("i", id_col)

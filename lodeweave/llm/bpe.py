@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeweave.session import spread
+
 _loaded: dict[str, BpeAutomaton] = {}
 _NEVER = 1 << 60
 
@@ -143,4 +145,4 @@ def encode_column(df: DataFrame, id_col: str = "doc_id", text: str = "text", pat
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
     kind = dict(df.select(id_col).dtypes)[id_col]
-    return df.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return spread(df.select(id_col, text)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeweave.session import spread
+
 #: Formats of issued credentials (fixed values): key ids, personal and chat tokens, service keys, signed tokens.
 _FORMAT = re.compile(
     r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{30,}|xox[abeprs]-[A-Za-z0-9-]{16,}|glpat-[\w-]{18,}|sk-(?:[a-z]+-)*[A-Za-z0-9_-]{24,}"
@@ -207,7 +209,7 @@ def find(df: DataFrame, keys: list[str], text: str, path: str, sample_rows: int
             yield pd.DataFrame(rows, columns=[*ks, "path", *COLUMNS, "weak"])
 
     fields = ", ".join(f"{k} string" for k in ks)
-    cand = texts.mapInPandas(extract, f"{fields}, path string, line_number int, start int, end int, kind string, name string, value string, weak int").persist()
+    cand = spread(texts).mapInPandas(extract, f"{fields}, path string, line_number int, start int, end int, kind string, name string, value string, weak int").persist()
     spots = F.sequence(F.lit(1), F.greatest(F.length("value") - 1, F.lit(1)))
     pairs = cand.filter("weak >= 0 and kind <> 'pem' and length(value) > 1").select("weak", F.explode(F.transform(spots, lambda i: F.substr("value", i, F.lit(2)))).alias("pair"))
     code = lambda k: F.least(F.greatest(F.ascii(F.substring("pair", k, 1)) - 31, F.lit(0)), F.lit(95))

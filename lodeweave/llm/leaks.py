@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeweave.session import spread
+
 #: Words of a passage's shingles; a passage of ``run`` words has ``run - SHINGLE + 1`` of them.
 SHINGLE = 5
 
@@ -33,7 +35,7 @@ def signatures(df: DataFrame, id_col: str, text: str, run: int) -> DataFrame:
     ).otherwise(F.array().cast("array<bigint>"))
     both = _bound(words(F.coalesce(F.col(text), F.lit(""))), lambda w: F.struct(w.alias("words"), _bound(_grams(w, SHINGLE), minima).alias("sig")))
     out = df.filter(F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), both.alias("b"))
-    return out.select("id", F.size("b.words").alias("n_words"), "b.words", "b.sig").filter(F.size("sig") > 0)
+    return out.select("id", F.size("b.words").alias("n_words"), "b.words", "b.sig")  # no filter here: it would be computed twice
 
 
 def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", item_text: str = "text", run: int = 10, broadcast_rows: int = 500_000) -> DataFrame:
@@ -49,14 +51,14 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: s
     table gives an empty result.
     """
     q = signatures(items, item_id, item_text, run).select(F.col("id").alias("item"), F.col("words").alias("item_words"), "sig").persist()
-    d = signatures(docs, doc_id, text, run).select(F.col("id").alias("doc"), "n_words", "words", "sig")
-    d = d.withColumn("size_class", F.floor(F.log2("n_words")).cast("int"))
+    docs = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
+    d = signatures(spread(docs), "doc", "text", run).select(F.col("id").alias("doc"), F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int").alias("size_class"), "sig")
     small = q.agg(F.coalesce(F.sum(F.size("sig")), F.lit(0))).first()[0] <= broadcast_rows
     classes = F.sequence(F.floor(F.log2(F.lit(run))).cast("int"), F.lit(31))
     asked = q.select("item", F.explode("sig").alias("h")).withColumn("size_class", F.explode(classes))
     put = d.select("doc", "size_class", F.explode("sig").alias("h"))
-    cand = put.join(F.broadcast(asked) if small else asked, ["size_class", "h"], "inner").select("doc", "item").distinct()
-    full = cand.join(d.select("doc", "words"), "doc").join(F.broadcast(q.select("item", "item_words")) if small else q.select("item", "item_words"), "item")
+    cand = put.join(F.broadcast(asked) if small else asked, ["size_class", "h"], "inner").select("doc", "item").distinct().persist()
+    full = cand.join(docs.filter("text is not null"), "doc").select("doc", "item", words(F.col("text")).alias("words")).join(F.broadcast(q.select("item", "item_words")) if small else q.select("item", "item_words"), "item")
 
     def runs(w: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - run + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, run), " "))

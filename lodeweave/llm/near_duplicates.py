@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.llm import golay
+from lodeweave.session import spread
 
 _WORDS = re.compile(rb"[a-z0-9_]+").findall
 _U = np.uint64
@@ -104,7 +105,7 @@ def shingle_sets(df: DataFrame, id_col: str, text: str, width: int) -> DataFrame
             )
 
     picked = df.filter(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("t"))
-    return picked.mapInArrow(run, "id string, node long, n int, set binary")
+    return spread(picked).mapInArrow(run, "id string, node long, n int, set binary")
 
 
 _SLOTS, _SLICES = 1 << 20, 64
