@@ -90,3 +90,13 @@ def nearest_centroids(chunks: DataFrame, clusters: DataFrame, max_distance: floa
         return pd.DataFrame({"chunk_id": left["id"].to_numpy()[ok], "cluster_id": right["id"].to_numpy()[j[ok]], "similarity_score": np.round(v[ok], 4)})
 
     return a.groupBy("repo_id", "language", "salt").cogroup(b.groupBy("repo_id", "language", "salt")).applyInPandas(match, "chunk_id string, cluster_id string, similarity_score double")
+
+
+def match_identities(fresh: DataFrame, clusters: DataFrame, max_distance: float = V.MATCH_DISTANCE) -> DataFrame:
+    """The stored cluster that each fresh centroid continues, within a cosine distance; null is a new cluster (V6).
+
+    ``fresh`` has repo_id, language, new_id and centroid; two fresh clusters may continue the same stored one.
+    """
+    named = fresh.select("repo_id", "language", F.col("new_id").alias("chunk_id"), F.col("centroid").alias("embedding"))
+    found = nearest_centroids(named, clusters, max_distance)
+    return fresh.select("new_id").join(found.select(F.col("chunk_id").alias("new_id"), F.col("cluster_id").alias("continues"), "similarity_score"), "new_id", "left")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.functions import fixed_values as V
 from lodeweave.functions import text as X
-from lodeweave.operators import cluster, debt, detectors, review, rules, tables, vectors
+from lodeweave.operators import chunker, cluster, debt, detectors, review, rules, tables, vectors
 from lodeweave.plans.registry import register
 from lodeweave.session import ship, spread, table
 
@@ -129,10 +129,10 @@ def overview_trend(s: SparkSession, d: str) -> DataFrame:
 @register(f"SELECT (SELECT count(*) FROM {_Q_COMMITS}) AS commits, (SELECT count(DISTINCT (repo_id, file_path)) FROM code_chunks) AS files, (SELECT count(*) FROM {_Q_CLUSTERS} WHERE is_flagged OR growth_rate > 0.10) AS spreading")
 def overview_counts(s: SparkSession, d: str) -> DataFrame:
     """Commits, distinct files and spreading clusters."""
-    c = _commits(s, d).agg(F.count(F.lit(1)).alias("commits"))
-    f = _chunks(s, d).agg(F.countDistinct("repo_id", "file_path").alias("files"))
-    k = cluster.cluster_snapshot(table(s, d, "semantic_clusters")).agg(F.count_if(F.col("is_flagged") | (F.col("growth_rate") > V.SPREADING_GROWTH)).alias("spreading"))
-    return c.join(f, F.lit(True)).join(k, F.lit(True))  # three tables of one row each
+    c = _commits(s, d).agg(F.lit("commits").alias("name"), F.count(F.lit(1)).alias("n"))
+    f = _chunks(s, d).agg(F.lit("files").alias("name"), F.countDistinct("repo_id", "file_path").alias("n"))
+    k = cluster.cluster_snapshot(table(s, d, "semantic_clusters")).agg(F.lit("spreading").alias("name"), F.count_if(F.col("is_flagged") | (F.col("growth_rate") > V.SPREADING_GROWTH)).alias("n"))
+    return c.unionByName(f).unionByName(k).agg(*(F.max(F.when(F.col("name") == x, F.col("n"))).alias(x) for x in ("commits", "files", "spreading")))
 
 
 @register(f"SELECT cluster_id, coalesce(nullif(label, ''), 'Cluster ' || left(cluster_id, 8)) AS label, chunk_count, file_count, growth_rate, left(m.sha, 8) AS origin_sha FROM {_Q_CLUSTERS} k LEFT JOIN {_Q_COMMITS} m ON m.commit_id = k.origin_commit_id ORDER BY chunk_count DESC, cluster_id LIMIT 100")
@@ -543,3 +543,21 @@ def insert_new_pr_files(s: SparkSession, d: str) -> DataFrame:
     f = table(s, d, "pr_files").select("pr_file_id", "pr_id", "fetched_at")
     new = tables.insert_if_absent(f.limit(0), f, ["pr_file_id"], ["fetched_at", "pr_id"])
     return new.groupBy("pr_id").agg(F.count(F.lit(1)).alias("files"))
+
+
+@register()
+def centroid_match(s: SparkSession, d: str) -> DataFrame:
+    """V4 to V6: the mean of each cluster's members today against the stored centroids of its repository and language."""
+    ship(s)
+    stored = table(s, d, "semantic_clusters")
+    rows = table(s, d, "cluster_memberships").select("cluster_id", "chunk_id").distinct().join(_chunks(s, d).filter("embedding is not null").select("chunk_id", "embedding"), "chunk_id")
+    fresh = vectors.mean_vectors(rows, "cluster_id", "embedding", 12).join(cluster.cluster_snapshot(stored).select("cluster_id", "repo_id", "language"), "cluster_id")
+    return cluster.match_identities(fresh.withColumnRenamed("cluster_id", "new_id"), stored)
+
+
+@register()
+def python_chunks(s: SparkSession, d: str) -> DataFrame:
+    """Functions and classes of the whole Python files."""
+    ship(s)
+    files = _chunks(s, d).filter("chunk_type = 'module' and language = 'python'")
+    return chunker.chunk_files(spread(files.select("chunk_id", "file_path", "raw_code")), "file_path", "raw_code", "chunk_id")

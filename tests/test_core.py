@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeweave.functions import text as X
-from lodeweave.operators import cluster, debt, detectors, graph, review, rules, tables, vectors
+from lodeweave.operators import chunker, cluster, debt, detectors, graph, review, rules, tables, vectors
 from lodeweave.streaming import events
 
 
@@ -158,3 +158,19 @@ def test_stream_routes_and_dedup(spark, tmp_path):
     q = events.process_new(events.routed(events.read_events(spark, str(src))), str(out), ["delivery_id"], lambda d: d.select("delivery_id", "route"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert dict(rows(spark.read.parquet(str(out)))) == {"1": "pong", "2": "pull_request", "3": "ignored", "4": "push", "5": "ignored"}
+
+
+def test_chunker(spark):
+    code = "class A:\n    def m(self):\n        if x and y:\n            return 1\n        else:\n            return 2\n\n\ndef f():\n    def g():\n        pass\n"
+    assert chunker.python_chunks(code) == [("A", "class", 1, 6, 4), ("m", "function", 2, 6, 4), ("f", "function", 9, 11, 1)]
+    assert [c[0] for c in chunker.python_chunks(code, "review")] == ["A", "m", "f", "g"]
+    df = spark.createDataFrame([("a.py", code), ("vendor/a.py", code), ("b.py", "def ("), ("c.go", "func"), ("d.py", None)], "p string, t string")
+    got = chunker.chunk_files(df, "p", "t", "p")
+    assert rows(got.select("p", "chunk_name", "start_line")) == [("a.py", "A", 1), ("a.py", "f", 9), ("a.py", "m", 2)]
+    assert got.filter("chunk_name = 'f'").first().raw_code == "def f():\n    def g():\n        pass"
+
+
+def test_match_identities(spark):
+    stored = spark.createDataFrame([("k1", "r", "l", [1.0, 0.0], 3, "h"), ("k2", "r", "l", [0.0, 1.0], 3, "h"), ("k3", "q", "l", [1.0, 0.0], 3, "h")], "cluster_id string, repo_id string, language string, centroid array<double>, chunk_count int, centroid_hash string")
+    fresh = spark.createDataFrame([("a", "r", "l", [1.0, 0.05]), ("b", "r", "l", [1.0, 1.0])], "new_id string, repo_id string, language string, centroid array<double>")
+    assert {r.new_id: r.continues for r in cluster.match_identities(fresh, stored).collect()} == {"a": "k1", "b": None}
