@@ -75,7 +75,8 @@ def nearest_centroids(chunks: DataFrame, clusters: DataFrame, max_distance: floa
     is not one task; inside a group the work is one matrix product.
     """
     usable = lambda c: F.col(c).isNotNull() & F.exists(F.col(c), lambda x: x != 0)
-    a = chunks.filter(usable("embedding")).select("repo_id", "language", F.col("chunk_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).alias("salt"))
+    own = [F.col(c).alias(c) for c in ("repo_id", "language")]  # new columns, as both sides may come from one table
+    a = chunks.filter(usable("embedding")).select(*own, F.col("chunk_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).alias("salt"))
     b = cluster_snapshot(clusters).filter(usable("centroid")).select("repo_id", "language", F.col("cluster_id").alias("id"), F.col("centroid").alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

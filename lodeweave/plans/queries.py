@@ -119,11 +119,11 @@ def blame_report(s: SparkSession, d: str) -> DataFrame:
     return top.select(F.substring("sha", 1, 8).alias("short_sha"), "debt_introduced_score", "patterns_originated", "files_eventually_affected")
 
 
-@register(f"WITH {_Q_SCORES}, m AS (SELECT * FROM {_Q_COMMITS} ORDER BY committed_at DESC, sha LIMIT 30) SELECT m.commit_id, round(coalesce(avg(total_score), 0e0), 4) AS avg_score FROM m LEFT JOIN scores USING (commit_id) GROUP BY m.commit_id")
+@register(f"WITH {_Q_SCORES}, m AS (SELECT * FROM {_Q_COMMITS} ORDER BY committed_at DESC, sha LIMIT 30) SELECT m.commit_id, round(coalesce(avg(total_score), 0e0), 8) AS avg_score FROM m LEFT JOIN scores USING (commit_id) GROUP BY m.commit_id")
 def overview_trend(s: SparkSession, d: str) -> DataFrame:
     """A1, O2: mean score of the thirty newest commits, 0 without one."""
     newest = _commits(s, d).orderBy(F.col("committed_at").desc(), "sha").limit(30).select("commit_id")
-    return newest.join(_scores(s, d), "commit_id", "left").groupBy("commit_id").agg(F.round(F.coalesce(F.avg("total_score"), F.lit(0.0)), 4).alias("avg_score"))
+    return newest.join(_scores(s, d), "commit_id", "left").groupBy("commit_id").agg(F.round(F.coalesce(F.avg("total_score"), F.lit(0.0)), 8).alias("avg_score"))
 
 
 @register(f"SELECT (SELECT count(*) FROM {_Q_COMMITS}) AS commits, (SELECT count(DISTINCT (repo_id, file_path)) FROM code_chunks) AS files, (SELECT count(*) FROM {_Q_CLUSTERS} WHERE is_flagged OR growth_rate > 0.10) AS spreading")
