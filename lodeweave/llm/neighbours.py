@@ -16,7 +16,7 @@ from lodeweave.llm.vectors import pack, unpack
 
 
 def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, min_cos: float = 0.85, shard_rows: int = 16384,
-            sample_rows: int = 40000, shards_per_query: int = 3, slack: float = 0.15, degree: int = 16, beam: int = 24) -> DataFrame:
+            sample_rows: int = 40000, shards_per_query: int = 3, slack: float = 0.15, degree: int = 20, beam: int = 28) -> DataFrame:
     """The ``k`` most similar other vectors of every vector, among those with a cosine of at least ``min_cos``.
 
     Columns ``id``, ``neighbour``, ``cosine``; ties go to the smaller neighbour id. Every row is indexed and every row is a
@@ -63,7 +63,7 @@ def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, min_cos: float
         g = RobustGraph(v[base], degree, beam)
         entry = np.full(len(v), -1, np.int32)
         entry[base] = np.arange(len(base))
-        ids, sims = g.search(v, beam=max(k + 3, beam * 2 // 3), entry=entry, expand=4)
+        ids, sims = g.search(v, beam=max(k + 3, beam * 3 // 4), entry=entry, expand=4)
         sims = np.where((ids < 0) | (ids == entry[:, None]), -9, sims)
         ids, sims = ids[:, : k + 3], sims[:, : k + 3]  # best first; one may be the query itself
         r, c = np.nonzero(sims >= min_cos - 1e-3)
