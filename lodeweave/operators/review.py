@@ -43,8 +43,14 @@ def duplicate_gate(a: str = "a", b: str = "b") -> Column:
     return ~same_app & role & (F.greatest(la, lb) <= V.MAX_LINE_RATIO * F.least(la, lb)) & (F.size(na) > 0) & (F.size(nb) > 0) & F.arrays_overlap(na, nb) & enough
 
 
+def without_copies(chunks: DataFrame) -> DataFrame:
+    """The least id of chunks that agree in file, name, lines, code and vector: they give the same match, of which one is kept anyway."""
+    same = ["repo_id", "language", "file_path", "chunk_name", F.col("end_line") - F.col("start_line"), F.sha2("raw_code", 256), "embedding"]
+    return chunks.groupBy(*same).agg(F.min("chunk_id").alias("chunk_id")).select("repo_id", "language", "file_path", "embedding", "chunk_id")
+
+
 def semantic_duplicates(pairs: DataFrame, chunks: DataFrame, keep: int = 5) -> DataFrame:
-    """V10 on candidate pairs (``query_id``, ``id``, ``cosine``): gate, one per (file, name), blended score, the best ``keep``."""
+    """V10 on all pairs (``query_id``, ``id``, ``cosine``) within the distance: gate, one per (file, name), blended score, the best ``keep``."""
     cols = ["chunk_id", "file_path", "chunk_name", "language", "start_line", "end_line", "raw_code"]
     a, b = chunks.select(*cols).alias("a"), chunks.select(*cols).alias("b")
     j = pairs.alias("p").join(a, F.col("p.query_id") == F.col("a.chunk_id")).join(b, F.col("p.id") == F.col("b.chunk_id")).filter((F.col("a.file_path") != F.col("b.file_path")) & duplicate_gate())

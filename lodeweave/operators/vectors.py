@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,6 +25,18 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
+def _met(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, keys: tuple[str, ...], block: int, parts: int, keep: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
+    """Queries and rows of every block ``_b`` and part ``_p``: ``keys``, ``id``, ``v``, ``keep``, ``is_query``; and the type of the ids."""
+    usable = lambda c: F.col(c).isNotNull() & F.exists(F.col(c), lambda x: x != 0)
+    side = lambda df, is_query: df.filter(usable(vector)).select(*keys, F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"), *keep, F.lit(is_query).alias("is_query"))
+    q, r = side(queries, True), side(rows, False)
+    blocks = max(1, -(-q.count() // block))
+    at = lambda n: F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(n))
+    q = q.withColumn("_b", at(blocks)).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    r = r.withColumn("_p", at(parts)).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return q.unionByName(r), dict(q.dtypes)["id"]
+
+
 def top_k(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int = 5, keys: tuple[str, ...] = (), max_distance: float | None = None, block: int = 4096, parts: int = 16) -> DataFrame:
     """The ``k`` rows nearest to each query by cosine, exactly: ``query_id``, ``id``, ``cosine`` to 6 places, ``rank``.
 
@@ -30,14 +44,7 @@ def top_k(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int
     parts by a hash of the id, and a task holds one block against one part; each keeps its ``k`` best, which are merged. A
     query never finds itself. Null and zero vectors take no part; ties go to the smaller id.
     """
-    usable = lambda c: F.col(c).isNotNull() & F.exists(F.col(c), lambda x: x != 0)
-    q = queries.filter(usable(vector)).select(*keys, F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(True).alias("is_query"))
-    r = rows.filter(usable(vector)).select(*keys, F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(False).alias("is_query"))
-    blocks = max(1, -(-q.count() // block))
-    at = lambda n: F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(n))
-    q = q.withColumn("_b", at(blocks)).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    r = r.withColumn("_p", at(parts)).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    kind = dict(q.dtypes)["id"]
+    met, kind = _met(rows, queries, id_col, vector, keys, block, parts)
 
     def best(g: pd.DataFrame) -> pd.DataFrame:
         a, b = g[g["is_query"]], g[~g["is_query"]]
@@ -60,12 +67,37 @@ def top_k(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int
             out.append(pd.DataFrame({"query_id": names[i : i + 512][rr], "id": ids[top[rr, cc]], "cosine": v[rr, cc]}))
         return pd.concat(out) if out else empty
 
-    near = q.unionByName(r).groupBy(*keys, "_b", "_p").applyInPandas(best, f"query_id {kind}, id {kind}, cosine double")
+    near = met.groupBy(*keys, "_b", "_p").applyInPandas(best, f"query_id {kind}, id {kind}, cosine double")
     w = W.partitionBy("query_id").orderBy(F.col("cosine").desc(), "id")
     ranked = near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "id", F.round("cosine", 6).alias("cosine"), "rank")
 
 
+def pairs_within(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, keys: tuple[str, ...], max_distance: float, apart: str, block: int = 4096, parts: int = 16) -> DataFrame:
+    """Every pair of a query and a row of equal ``keys`` and another ``apart`` within a cosine distance: ``query_id``, ``id``, ``cosine`` to 6 places.
+
+    Blocks meet as in ``top_k``, but no pair is dropped; pairs leave a block 512 queries at a time, whatever their number.
+    """
+    met, kind = _met(rows, queries, id_col, vector, keys, block, parts, (apart,))
+
+    def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = pd.concat(list(frames))
+        a, b = g[g["is_query"]], g[~g["is_query"]]
+        if a.empty or b.empty:
+            return
+        x, y = _unit(np.stack(a["v"].to_numpy())), _unit(np.stack(b["v"].to_numpy()))
+        names, ids, own, other = a["id"].to_numpy(), b["id"].to_numpy(), a[apart].to_numpy(), b[apart].to_numpy()
+        for i in range(0, len(x), 512):
+            s = np.round(x[i : i + 512] @ y.T, 9)
+            rr, cc = np.nonzero(s >= 1 - max_distance - 1e-9)
+            ok = own[i : i + 512][rr] != other[cc]
+            rr, cc = rr[ok], cc[ok]
+            yield pd.DataFrame({"query_id": names[i : i + 512][rr], "id": ids[cc], "cosine": s[rr, cc]})
+
+    found = met.groupBy(*keys, "_b", "_p").applyInPandas(link, f"query_id {kind}, id {kind}, cosine double")
+    return found.select("query_id", "id", F.round("cosine", 6).alias("cosine"))
+
+
 def mean_vectors(df: DataFrame, key: str, vector: str, places: int = 6) -> DataFrame:
     """Element-wise mean per key, averaged per dimension before the shuffle; ``key``, ``centroid``, ``members``."""
     long = df.filter(F.col(vector).isNotNull()).select(key, F.posexplode(vector).alias("_i", "_x"))

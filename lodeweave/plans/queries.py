@@ -488,7 +488,7 @@ def semantic_duplicates(s: SparkSession, d: str) -> DataFrame:
     ship(s)
     f = _chunks(s, d).filter(F.col("chunk_type").isin("function", "method") & (F.trim("raw_code") != ""))
     q = f.filter(F.pmod(F.crc32("chunk_id"), F.lit(50)) == 0)
-    near = vectors.top_k(f, q, "chunk_id", "embedding", k=50, keys=("repo_id", "language"), max_distance=0.03)
+    near = vectors.pairs_within(review.without_copies(f), q, "chunk_id", "embedding", ("repo_id", "language"), 0.03, "file_path")
     return review.semantic_duplicates(near, f)
 
 

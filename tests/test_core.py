@@ -137,6 +137,16 @@ def test_gate_and_health(spark):
     assert rows(review.health_score(f, "pr_id")) == [("o", 0), ("p", 40)]
 
 
+def test_duplicates_behind_many_near_rows_of_no_use(spark):
+    """A twin elsewhere is found, however many closer functions of the same file and app fail the gate."""
+    near = lambda i: [1.0, 0.001 * i]
+    c = [("q", "apps/a/x.py", near(0))] + [(f"f{i:03}", "apps/a/x.py", near(1)) for i in range(40)] + [(f"g{i:03}", f"apps/a/y{i}.py", near(2)) for i in range(40)]
+    c += [(f"t{i}{k}", f"b/z{i}.py", near(3 + i)) for i in range(7) for k in "ab"] + [("far", "b/w.py", [0.0, 1.0])]
+    df = spark.createDataFrame([("r", i, p, "load_price", "python", 1, 20, "def load_price(): price", v) for i, p, v in c], "repo_id string, chunk_id string, file_path string, chunk_name string, language string, start_line int, end_line int, raw_code string, embedding array<double>")
+    pairs = vectors.pairs_within(review.without_copies(df), df.filter("chunk_id = 'q'"), "chunk_id", "embedding", ("repo_id", "language"), 0.03, "file_path")
+    assert rows(review.semantic_duplicates(pairs, df).select("id")) == [(f"t{i}a",) for i in range(5)]
+
+
 def test_signature():
     body, good = b"{}", "sha256=" + hmac.new(b"k", b"{}", hashlib.sha256).hexdigest()
     assert review.signature_valid("k", body, good) and not review.signature_valid("", body, good) and not review.signature_valid("k", body, good[7:]) and not review.signature_valid("k", b"x", good)
