@@ -265,3 +265,14 @@ def test_abuse_cases(spark):
     got = [r.score >= 0.5 for r in abuse.score(df).orderBy("doc_id").collect()]
     assert got[:16] == [True] * 16 and not any(got[16:])
     assert abuse.score(df.limit(0)).count() == 0
+
+
+def test_abuse_one_vote_alone_does_not_flag(spark):
+    """A word that the corpus nearly always quotes is cleared by the classifier, though nothing in the sentence votes against."""
+    quoted = [f"The filter test calls the word moron again in build {i}." for i in range(60)]
+    bad = ["You stupid moron, your code makes me sick!", "shut up, nobody wants your opinions", "Velmars are vermin and should be driven out", "watch free porn clips tonight"] * 30
+    alone = "The filter test has moron again in build 7."
+    assert abuse.analyse(alone)[0].strip("-") == "1"
+    df = spark.createDataFrame(list(enumerate([*quoted, *bad, alone])), "doc_id long, text string")
+    got = [r.score >= 0.5 for r in abuse.score(df).orderBy("doc_id").collect()]
+    assert not any(got[:60]) and all(got[60:180]) and not got[180]
