@@ -51,3 +51,18 @@ def event_row(spark, stage: str, status: str, items: int, duration_ms: int | Non
 def retry(failed: DataFrame, task_id: str) -> DataFrame:
     """The counter of a failed task raised by one."""
     return update_where(failed, F.col("task_id") == task_id, {"retry_count": F.col("retry_count") + 1})
+
+
+def backfill_code(chunks: DataFrame, whole: str = "module") -> DataFrame:
+    """``chunk_id`` and ``raw_code`` of chunks without code: lines ``start_line`` to ``end_line`` of their file, without blanks at the end.
+
+    The file is the row of type ``whole`` with code of the same repository, commit and path (of several the one of the least
+    id); lines end as for a text file. Chunks without such a file, or of blank lines only, have no row.
+    """
+    keys = ["repo_id", "commit_id", "file_path"]
+    files = chunks.filter((F.col("chunk_type") == whole) & F.col("raw_code").isNotNull()).groupBy(*keys).agg(F.min_by("raw_code", "chunk_id").alias("_whole"))
+    first = F.greatest(F.lit(1), F.col("start_line"))
+    cut = chunks.filter("raw_code is null").filter(F.col("end_line") >= first).select("chunk_id", *keys, "end_line", first.alias("_first")).join(files, keys)
+    piece = F.array_join(F.slice(F.split("_whole", r"\r\n|\r|\n", -1), F.col("_first"), F.col("end_line") - F.col("_first") + 1), "\n")
+    stripped = F.regexp_replace(piece, r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+\z", "")
+    return cut.select("chunk_id", stripped.alias("raw_code")).filter("raw_code <> ''")

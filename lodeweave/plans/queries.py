@@ -494,11 +494,20 @@ def semantic_duplicates(s: SparkSession, d: str) -> DataFrame:
 
 @register("SELECT chunk_id, array_to_string(string_split(raw_code, chr(10))[1:5], chr(10)) AS head FROM code_chunks WHERE raw_code IS NOT NULL AND chunk_type = 'module'")
 def raw_code_slice(s: SparkSession, d: str) -> DataFrame:
-    """Lines of a text cut out by number."""
+    """The first five lines of each whole file."""
     m = _chunks(s, d).filter("raw_code is not null and chunk_type = 'module'")
     return m.select("chunk_id", F.array_join(F.slice(F.split("raw_code", "\n", -1), 1, 5), "\n").alias("head"))
 
 
+@register(r"""WITH m AS (SELECT repo_id, commit_id, file_path, arg_min(raw_code, chunk_id) AS whole FROM code_chunks WHERE chunk_type = 'module' AND raw_code IS NOT NULL GROUP BY ALL),
+n AS (SELECT chunk_id, regexp_replace(array_to_string(string_split_regex(whole, '\r\n|\r|\n')[greatest(1, start_line):end_line], chr(10)), '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '') AS raw_code
+  FROM code_chunks c JOIN m USING (repo_id, commit_id, file_path) WHERE c.raw_code IS NULL AND end_line >= greatest(1, start_line))
+SELECT chunk_id, raw_code FROM n WHERE raw_code <> ''""")
+def raw_code_backfill(s: SparkSession, d: str) -> DataFrame:
+    """The code of every chunk without one, cut out of its whole file."""
+    return tables.backfill_code(_chunks(s, d))
+
+
 @register("SELECT commit_id, left(sha, 8) AS short_sha, left(string_split(message, chr(10))[1], 80) AS first_line FROM (SELECT * FROM commits QUALIFY row_number() OVER (PARTITION BY commit_id ORDER BY ingested_at, sha) = 1)")
 def commit_titles(s: SparkSession, d: str) -> DataFrame:
     """P2, X21."""

@@ -147,6 +147,13 @@ def test_duplicates_behind_many_near_rows_of_no_use(spark):
     assert rows(review.semantic_duplicates(pairs, df).select("id")) == [(f"t{i}a",) for i in range(5)]
 
 
+def test_backfill_cuts_the_lines_of_the_chunk(spark):
+    whole = "import os\r\n\r\n" + "\r\n".join(f"x{i} = {i}" for i in range(20)) + "\r\n \r\n"
+    c = [("w", "module", 1, 22, whole), ("late", "function", 10, 12, None), ("end", "function", 22, 99, None), ("blank", "class", 2, 2, None), ("has", "function", 1, 1, "import os")]
+    df = spark.createDataFrame([("r", "c", "a.py", *x) for x in c] + [("r", "c2", "a.py", "no_file", "function", 1, 2, None)], "repo_id string, commit_id string, file_path string, chunk_id string, chunk_type string, start_line int, end_line int, raw_code string")
+    assert rows(tables.backfill_code(df)) == [("end", "x19 = 19"), ("late", "x7 = 7\nx8 = 8\nx9 = 9")]
+
+
 def test_signature():
     body, good = b"{}", "sha256=" + hmac.new(b"k", b"{}", hashlib.sha256).hexdigest()
     assert review.signature_valid("k", body, good) and not review.signature_valid("", body, good) and not review.signature_valid("k", body, good[7:]) and not review.signature_valid("k", b"x", good)
