@@ -62,13 +62,24 @@ def semantic_duplicates(pairs: DataFrame, chunks: DataFrame, keep: int = 5) -> D
     return out.filter("similarity is not null").drop("_n")
 
 
-def debt_impact(joined: DataFrame, clusters: DataFrame, min_growth: float = 0.05, keep: int = 5) -> DataFrame:
-    """Clusters that the joining chunks (``chunk_id``, ``cluster_id``, ``similarity_score``) would grow most."""
-    hits = joined.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("joining"), F.max_by("chunk_id", F.struct("similarity_score", "chunk_id")).alias("representative"))
+def debt_impact(joined: DataFrame, clusters: DataFrame, memberships: DataFrame, chunks: DataFrame, commits: DataFrame, keys: tuple[str, ...] = ("repo_id", "commit_id"), min_growth: float = 0.05, keep: int = 5) -> DataFrame:
+    """For each change (``keys``) the ``keep`` clusters that its joining chunks (``chunk_id``, ``cluster_id``) would grow most.
+
+    W5: a cluster is represented by its stored member of highest similarity, ties to the smaller id; null where it has none.
+    """
+    hits = joined.groupBy(*keys, "cluster_id").agg(F.count(F.lit(1)).alias("joining"))
     growth = F.round(F.col("joining") / F.greatest(F.col("chunk_count"), F.lit(1)), 4)
-    out = hits.join(clusters.select("cluster_id", "chunk_count", "label", "origin_commit_id"), "cluster_id").withColumn("growth", growth).filter(F.col("growth") >= min_growth)
+    out = hits.join(clusters.select("cluster_id", "chunk_count", "file_count", "language", "label", "origin_commit_id"), "cluster_id").withColumn("growth", growth).filter(F.col("growth") >= min_growth)
+    best = W.partitionBy(*keys).orderBy(F.col("growth").desc(), "cluster_id")
+    out = out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= keep)
+    members = memberships.select("cluster_id", "chunk_id", "similarity_score").join(chunks.select("chunk_id", "chunk_name"), "chunk_id")
+    first = W.partitionBy("cluster_id").orderBy(F.col("similarity_score").desc(), "chunk_id")
+    members = members.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("cluster_id", F.col("chunk_name").alias("representative"))
+    origins = commits.select(F.col("commit_id").alias("origin_commit_id"), F.substring("sha", 1, 8).alias("origin_sha"))
+    out = out.join(members, "cluster_id", "left").join(origins, "origin_commit_id", "left")
     label = F.coalesce(F.nullif(F.col("label"), F.lit("")), F.concat(F.lit("Cluster "), F.substring("cluster_id", 1, 8)))
-    return out.select("cluster_id", label.alias("label"), "joining", "chunk_count", "growth", "representative", F.when(F.col("growth") >= 0.30, "high").otherwise("medium").alias("severity")).orderBy(F.col("growth").desc(), "cluster_id").limit(keep)
+    severity = F.when(F.col("growth") >= 0.30, "high").otherwise("medium")
+    return out.select(*keys, "rank", "cluster_id", label.alias("label"), "language", "joining", "chunk_count", "file_count", "growth", "representative", "origin_sha", severity.alias("severity"))
 
 
 def impact_score(impacts: DataFrame) -> DataFrame:

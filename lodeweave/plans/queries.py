@@ -474,12 +474,12 @@ def centroid_hashes(s: SparkSession, d: str) -> DataFrame:
 
 @register()
 def debt_impact(s: SparkSession, d: str) -> DataFrame:
-    """Clusters that the chunks of the newest commits would grow."""
+    """The clusters that the chunks of each commit would grow most."""
     ship(s)
-    newest = _commits(s, d).withColumn("_n", F.row_number().over(W.partitionBy("repo_id").orderBy(F.col("committed_at").desc(), "sha"))).filter("_n <= 5")
-    new = _chunks(s, d).join(newest.select("commit_id"), "commit_id", "left_semi")
+    new = _chunks(s, d).filter(F.col("raw_code").rlike(r"\S"))
     clusters = table(s, d, "semantic_clusters")
-    return review.debt_impact(cluster.nearest_centroids(new, clusters), cluster.cluster_snapshot(clusters))
+    joined = cluster.nearest_centroids(new, clusters).join(new.select("chunk_id", "repo_id", "commit_id"), "chunk_id")
+    return review.debt_impact(joined, cluster.cluster_snapshot(clusters), table(s, d, "cluster_memberships"), _chunks(s, d), _commits(s, d))
 
 
 @register()

@@ -147,6 +147,18 @@ def test_duplicates_behind_many_near_rows_of_no_use(spark):
     assert rows(review.semantic_duplicates(pairs, df).select("id")) == [(f"t{i}a",) for i in range(5)]
 
 
+def test_impact_of_each_commit_with_stored_representative(spark):
+    """Each commit has its own five, represented by the stored member of highest similarity, not by a joining chunk."""
+    joined = spark.createDataFrame([(f"n{c}{k}", f"k{k}", "r", f"c{c}") for c in range(3) for k in range(6)], "chunk_id string, cluster_id string, repo_id string, commit_id string")
+    clusters = spark.createDataFrame([(f"k{k}", 2 + k, 1, "python", "", "c0" if k else None) for k in range(6)], "cluster_id string, chunk_count int, file_count int, language string, label string, origin_commit_id string")
+    members = spark.createDataFrame([(f"k{k}", f"m{k}{i}", 0.5 + i / 10) for k in range(5) for i in range(3)], "cluster_id string, chunk_id string, similarity_score double")
+    chunks = spark.createDataFrame([(f"m{k}{i}", f"name{k}{i}") for k in range(5) for i in range(3)], "chunk_id string, chunk_name string")
+    commits = spark.createDataFrame([("c0", "0123456789")], "commit_id string, sha string")
+    got = review.debt_impact(joined, clusters, members, chunks, commits)
+    assert rows(got.select("commit_id", "rank", "cluster_id", "representative")) == [(f"c{c}", k + 1, f"k{k}", f"name{k}2") for c in range(3) for k in range(5)]
+    assert {(r.cluster_id, r.origin_sha) for r in got.collect()} == {("k0", None)} | {(f"k{k}", "01234567") for k in range(1, 5)}
+
+
 def test_backfill_cuts_the_lines_of_the_chunk(spark):
     whole = "import os\r\n\r\n" + "\r\n".join(f"x{i} = {i}" for i in range(20)) + "\r\n \r\n"
     c = [("w", "module", 1, 22, whole), ("late", "function", 10, 12, None), ("end", "function", 22, 99, None), ("blank", "class", 2, 2, None), ("has", "function", 1, 1, "import os")]
