@@ -135,6 +135,22 @@ def test_provenance(spark):
     assert provenance.classify(df.limit(0)).count() == 0
 
 
+def test_provenance_below_a_licence_and_without_a_whole_file(spark):
+    code = "def compute_total(order_lines):\n    return sum(line.price for line in order_lines)\n"
+    licence = [f"Clause {i} of the licence." for i in range(20)]
+    mark = "Code generated by x v1. DO NOT EDIT."
+    heads = {
+        "line.py": "\n".join(f"# {x}" for x in [*licence, mark]), "doc.py": '"""\n' + "\n".join([*licence, mark]) + '\n"""', "block.js": "/*\n" + "\n".join([*licence, mark]) + "\n*/",
+        "begin.rb": "=begin\n" + mark + "\n=end", "tag.js": "<!--\n" + mark + "\n-->",
+    }
+    assert all(provenance.head_marks(h + "\n" + code) == (True, False) for h in heads.values())
+    assert provenance.head_marks('"""Totals."""\n' + code + f"# {mark}\n") == (False, False) and provenance.head_marks("/* a */\nx = 1\n" + mark) == (False, False)
+    mini = [f"function {a}{b}({a},{b}){{return {a}.x({b},{i})}}var {a}c={a}?{b}.q:1;" for i, (a, b) in enumerate(zip("abcdefghijklmnop" * 3, "qrstuvwxyzabcdef" * 3))]
+    half = [("a/m.js", "function", 1, 1, "".join(mini[:24])), ("a/m.js", "function", 2, 2, "".join(mini[24:])), ("a/h.py", "class", 1, 9, "class A:\n" + code), ("a/h.py", "method", 2, 9, code)]
+    df = spark.createDataFrame([("r", "c", p, p[-2:], t, k, a, b) for p, k, a, b, t in half], "repo_id string, commit_id string, file_path string, language string, raw_code string, chunk_type string, start_line int, end_line int")
+    assert rows(provenance.classify(df)) == [("r", "a/m.js", "minified")]
+
+
 # problem 6 ----------------------------------------------------------------------------------------------------------
 
 
