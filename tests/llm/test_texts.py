@@ -250,8 +250,10 @@ def test_leaks_against_brute_force(spark):
     want = {(d, i) for d, t in docs for i, s in items if grams(t) & grams(s)}
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("sig", F.lit(1)).withColumn("words", F.lit("w"))
     it = spark.createDataFrame(items, "item_id long, text string").withColumn("h", F.lit(0))
-    for small in (500_000, 0):  # queries broadcast, and shuffled
-        assert set(rows(leaks.leaked(df, it, broadcast_rows=small).select("doc_id", "item_id"))) == want
+    counts = {(d, i): len(grams(t) & grams(s)) for d, t in docs for i, s in items if grams(t) & grams(s)}
+    for small in (4 << 20, 0):  # items sent to every task, and joined
+        got = leaks.leaked(df, it, broadcast_bytes=small)
+        assert set(rows(got.select("doc_id", "item_id"))) == want and {(r.doc_id, r.item_id): r.shared_passages for r in got.collect()} == counts
     assert leaks.leaked(df.limit(0), it).count() == 0 and leaks.leaked(df, it.limit(0)).count() == 0
 
 
@@ -260,7 +262,7 @@ def test_leaks_against_brute_force(spark):
 
 @pytest.mark.parametrize("disguised,word", [("i-d-i-o-t", "idiot"), ("1d10t", "idiot"), ("id​iot", "idiot"), ("іdіоt", "idiot"), ("moooooron", "moron"), ("po*n", "porn"), ("S e x y", "sexy"), ("v3rm1n", "vermin"), ("IMBÉCILE", "imbecile")])
 def test_disguised_words(disguised, word):
-    found = {abuse.lexicon_word(t)[0] for t in abuse._WORD.findall(abuse.fold(disguised)) if abuse.lexicon_word(t)}
+    found = {abuse.lexicon_word(t)[0] for t in abuse._TOKEN.findall(abuse.fold(disguised)) if abuse.lexicon_word(t)}
     assert word in found
 
 
@@ -288,7 +290,7 @@ def test_abuse_one_vote_alone_does_not_flag(spark):
     quoted = [f"The filter test calls the word moron again in build {i}." for i in range(60)]
     bad = ["You stupid moron, your code makes me sick!", "shut up, nobody wants your opinions", "Velmars are vermin and should be driven out", "watch free porn clips tonight"] * 30
     alone = "The filter test has moron again in build 7."
-    assert abuse.analyse(alone)[0].strip("-") == "1"
+    assert [p for _, _, p in abuse.votes(*abuse.encode(alone))] == [1 << abuse.VOTERS.index("insult")]
     df = spark.createDataFrame(list(enumerate([*quoted, *bad, alone])), "doc_id long, text string")
     got = [r.score >= 0.5 for r in abuse.score(df).orderBy("doc_id").collect()]
     assert not any(got[:60]) and all(got[60:180]) and not got[180]
