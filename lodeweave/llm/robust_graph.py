@@ -9,9 +9,9 @@ import numpy as np
 
 
 class RobustGraph:
-    def __init__(self, x: np.ndarray, degree: int = 12, beam: int = 20, alpha: float = 1.2, block: int = 1024, seed: int = 11):
+    def __init__(self, x: np.ndarray, degree: int = 12, beam: int = 20, alpha: float = 1.6, block: int = 1024, seed: int = 11, entries: int = 8):
         self.x = np.ascontiguousarray(x, np.float32)
-        self.degree, self.beam, self.alpha, self.block = degree, beam, alpha, block
+        self.degree, self.beam, self.alpha, self.block, self.entries = degree, beam, alpha, block, entries
         n = len(x)
         self.out = np.full((n, degree), -1, np.int32)
         rng = np.random.default_rng(seed)
@@ -29,11 +29,18 @@ class RobustGraph:
         while done < n:
             size = min(self.block, max(64, done // 2), n - done)
             new = order[done : done + size]
-            self.hubs = order[: int(min(done, 64 + done**0.5))]
+            self.hubs = order[: self._hubs(done)]
             ids, sims = self.search(self.x[new], beam=self.beam)
-            self._insert(new, ids, sims)
+            mates = self.x[new] @ self.x[new].T  # points that come together see each other
+            k = min(self.beam, size)
+            top = np.argpartition(-mates, k - 1, axis=1)[:, :k]
+            self._insert(new, np.concatenate([ids, new[top]], 1), np.concatenate([sims, np.take_along_axis(mates, top, 1)], 1))
             done += size
-        self.hubs = order[: int(min(n, 64 + n**0.5))]
+        self.hubs = order[: self._hubs(n)]
+
+    def _hubs(self, n: int) -> int:
+        """Points among which a search looks for its entries: in many small groups far from each other a few would not lead everywhere."""
+        return min(n, max(64, n // 8))
 
     def _insert(self, new: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> None:
         self.out[new] = self._prune(new, ids, sims)
@@ -44,10 +51,18 @@ class RobustGraph:
         src, dst = src[order], dst[order]
         who, start, count = np.unique(dst, return_index=True, return_counts=True)
         rank = np.arange(len(dst)) - np.repeat(start, count)
-        widest = int(min(count.max(initial=0), 2 * self.degree))  # further back edges of one node wait for other searches
-        added = np.full((len(who), widest), -1, np.int32)
-        keep = rank < widest
-        added[np.repeat(np.arange(len(who)), count)[keep], rank[keep]] = src[keep]
+        place = np.repeat(np.arange(len(who)), count)
+        wide = 2 * self.degree
+        for low in range(0, int(count.max(initial=0)), wide):  # a node of many back edges takes them in several rounds
+            some = np.nonzero(count > low)[0]
+            at = np.full(len(who), -1)
+            at[some] = np.arange(len(some))
+            keep = (rank >= low) & (rank < low + wide)
+            added = np.full((len(some), int(min(count.max() - low, wide))), -1, np.int32)
+            added[at[place[keep]], rank[keep] - low] = src[keep]
+            self._back(who[some], added)
+
+    def _back(self, who: np.ndarray, added: np.ndarray) -> None:
         both = np.concatenate([self.out[who], added], 1)
         free = (both >= 0).sum(1) <= self.degree
         if free.any():
@@ -95,7 +110,7 @@ class RobustGraph:
     def _block(self, q: np.ndarray, beam: int, entry: np.ndarray | None, expand: int) -> tuple[np.ndarray, np.ndarray]:
         b = len(q)
         hub = q @ self.x[self.hubs].T
-        k = min(4, len(self.hubs))
+        k = min(self.entries, len(self.hubs))
         top = np.argpartition(-hub, k - 1, axis=1)[:, :k]
         start, s0 = self.hubs[top].astype(np.int32), np.take_along_axis(hub, top, 1)
         if entry is not None:
