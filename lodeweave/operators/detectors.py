@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodeweave.functions import fixed_values as V
@@ -30,6 +31,8 @@ RULES: list[Rule] = [
     *(Rule("INSECURE_RANDOM", lang, p, "Insecure random number generation", "medium") for lang, ps in V.INSECURE_RANDOM.items() for p in ps),
     *(Rule("OPEN_REDIRECT", lang, p, "Potential open redirect vulnerability", "high") for lang, ps in V.OPEN_REDIRECT.items() for p in ps),
 ]
+#: The detectors in the order in which they run.
+ORDER = ["HARDCODED_SECRET", "SQL_INJECTION", "DANGEROUS_FUNCTION", "MISSING_AUTH", "INSECURE_RANDOM", "OPEN_REDIRECT"]
 #: Starts of a comment line that a detector passes over.
 COMMENTS = {"HARDCODED_SECRET": r"^(#|//|\*|<!--)", "DANGEROUS_FUNCTION": r"^(#|//|\*|<!--)", "INSECURE_RANDOM": r"^(#|//|\*)", "OPEN_REDIRECT": r"^(#|//|\*)"}
 
@@ -104,3 +107,19 @@ def missing_auth(df: DataFrame, text: str, *keep: str) -> DataFrame:
     picked = df.filter(F.col(text).contains("@")).select(*keep, F.col(text).alias("_t"))
     kinds = ", ".join(f"`{n}` {t}" for n, t in picked.select(*keep).dtypes)
     return picked.mapInPandas(run, f"{kinds}, line_number int, function_name string")
+
+
+def scan_files(df: DataFrame, text: str, language: str, *keep: str) -> DataFrame:
+    """Findings of all detectors (D1 to D6) with ``place`` in each file's report: by severity, then detector, then line.
+
+    Columns as of ``findings``. A null text has no findings; a text that does not parse has none of D4.
+    """
+    line = findings(df, text, language, *keep)
+    hex_ = entropy_findings(df.filter(F.col(text).isNotNull()), text, *keep).filter(~F.col("value").rlike(V.PLACEHOLDER))
+    hex_ = hex_.select(*keep, F.lit("HARDCODED_SECRET").alias("detector"), F.lit("high").alias("severity"), F.lit("High-entropy string (possible secret)").alias("title"), "line_number", F.col("value").alias("code_snippet"))
+    auth = missing_auth(df.filter(F.col(language) == "python"), text, *keep)
+    auth = auth.select(*keep, F.lit("MISSING_AUTH").alias("detector"), F.lit("high").alias("severity"), F.format_string("Endpoint '%s' has no authentication decorator", "function_name").alias("title"), "line_number", F.lit("").alias("code_snippet"))
+    every = line.unionByName(hex_).unionByName(auth)
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, V.SEVERITIES)), F.col("severity")), F.lit(0))
+    order = F.array_position(F.array(*map(F.lit, ORDER)), F.col("detector"))
+    return every.withColumn("place", F.row_number().over(W.partitionBy(*keep).orderBy(rank, order, "line_number", "title", "code_snippet")))

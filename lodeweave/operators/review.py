@@ -43,6 +43,11 @@ def duplicate_gate(a: str = "a", b: str = "b") -> Column:
     return ~same_app & role & (F.greatest(la, lb) <= V.MAX_LINE_RATIO * F.least(la, lb)) & (F.size(na) > 0) & (F.size(nb) > 0) & F.arrays_overlap(na, nb) & enough
 
 
+def embeddable(chunks: DataFrame) -> DataFrame:
+    """chunks with code, of enough lines and complexity."""
+    return chunks.filter((F.trim("raw_code") != "") & (F.col("end_line") - F.col("start_line") + 1 >= V.MIN_LINES) & (F.col("complexity_score") >= V.MIN_COMPLEXITY))
+
+
 def without_copies(chunks: DataFrame) -> DataFrame:
     """The least id of chunks that agree in file, name, lines, code and vector: they give the same match, of which one is kept anyway."""
     same = ["repo_id", "language", "file_path", "chunk_name", F.col("end_line") - F.col("start_line"), F.sha2("raw_code", 256), "embedding"]
@@ -106,6 +111,25 @@ def select_comments(findings: DataFrame, added: DataFrame, keys: tuple[str, ...]
     return first.join(added.distinct(), [*keys, "line_number"], "left_semi")
 
 
+def duplicate_findings(duplicates: DataFrame, *keep: str) -> DataFrame:
+    """V12 with P8: a finding of medium severity for each duplicate; the percentage is cut, not rounded."""
+    pct = F.floor(F.col("similarity") * 100).cast("int").cast("string")
+    title = F.concat(F.lit("Duplicate logic: "), "chunk_name", F.lit(" ("), pct, F.lit("% match)"))
+    return duplicates.select(*keep, F.lit("duplicate").alias("finding_type"), F.lit("medium").alias("severity"), title.alias("title"), F.col("start_line").alias("line_number"))
+
+
+def impact_findings(impacts: DataFrame, *keep: str) -> DataFrame:
+    """V13 with P8: a finding for each cluster that a change accelerates, without file and line."""
+    pct = F.floor(F.col("growth") * 100).cast("int").cast("string")
+    title = F.concat(F.lit("Accelerates pattern '"), F.coalesce("representative", F.lit("")), F.lit("' by ~"), pct, F.lit("%"))
+    return impacts.select(*keep, F.lit("debt_impact").alias("finding_type"), F.col("severity"), title.alias("title"), F.lit(None).cast("int").alias("line_number"))
+
+
+def fingerprint(kind: str, title: str, snippet: str) -> Column:
+    """sha256 of type, title and the first 300 characters of the snippet."""
+    return F.sha2(F.concat_ws(":", F.col(kind), F.col(title), F.substring(F.col(snippet), 1, 300)), 256)
+
+
 def signature_valid(secret: str, body: bytes, header: str | None) -> bool:
     """``sha256=`` HMAC of the body; false without a secret or prefix."""
     if not secret or not header or not header.startswith("sha256="):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodeweave.functions import fixed_values as V
 from lodeweave.functions import text as X
 from lodeweave.operators import chunker, cluster, debt, detectors, review, rules, tables, vectors
+from lodeweave.plans import fixtures
 from lodeweave.plans.registry import register
 from lodeweave.session import ship, spread, table
 
@@ -47,6 +48,14 @@ cut AS (SELECT chunk_id, repo_id, file_path, language, string_split_regex(raw_co
 cut2 AS (SELECT * REPLACE (CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS a) FROM cut),
 lines AS (SELECT chunk_id, repo_id, file_path, language, unnest(a) AS line, unnest(range(1, len(a) + 1)) AS line_number FROM cut2)"""
 
+#: Lines of all chunks and of the fixture code.
+_Q_LINES_FX = _Q_LINES.replace("repo_id, file_path, ", "").replace("FROM code_chunks", f"FROM (SELECT chunk_id, language, raw_code FROM code_chunks UNION ALL FROM {fixtures.sql('code')})")
+
+
+def _code(s: SparkSession, d: str) -> DataFrame:
+    """All chunks and the fixture code."""
+    return _chunks(s, d).select("chunk_id", "language", "raw_code").unionByName(fixtures.frame(s, "code"))
+
 
 def _violations(s: SparkSession, d: str) -> DataFrame:
     return rules.chunk_violations(_chunks(s, d), keep=("repo_id", "commit_id", "file_path"))
@@ -72,11 +81,19 @@ def debt_velocity(s: SparkSession, d: str) -> DataFrame:
     return _velocity(s, d).select("repo_id", "commit_id", "file_path", "total_score", "velocity")
 
 
-@register(f"""WITH {_Q_VELOCITY}, st AS (SELECT repo_id, commit_id, file_path, velocity, avg(velocity) OVER w AS a, stddev_pop(velocity) OVER w AS sd, count(*) OVER w AS n FROM vel WINDOW w AS (PARTITION BY repo_id, file_path))
+_Q_HISTORY = f"""{_Q_SCORES},
+allc AS (SELECT commit_id, sha, committed_at FROM {_Q_COMMITS} UNION ALL SELECT commit_id, sha, TIMESTAMP '2024-01-01' + to_days(day) FROM {fixtures.sql("commits")}),
+vel AS (SELECT s.*, m.committed_at, m.sha, round(coalesce(total_score - lag(total_score) OVER (PARTITION BY s.repo_id, file_path ORDER BY m.committed_at, m.sha), 0e0), 4) AS velocity
+  FROM (SELECT repo_id, commit_id, file_path, language, total_score FROM scores UNION ALL FROM {fixtures.sql("scores")}) s JOIN allc m USING (commit_id))"""
+
+
+@register(f"""WITH {_Q_HISTORY}, st AS (SELECT repo_id, commit_id, file_path, velocity, avg(velocity) OVER w AS a, stddev_pop(velocity) OVER w AS sd, count(*) OVER w AS n FROM vel WINDOW w AS (PARTITION BY repo_id, file_path))
 SELECT repo_id, commit_id, file_path, velocity FROM st WHERE n >= 3 AND sd > 1e-9 AND velocity > a + 2 * sd AND velocity > 0""")
 def debt_inflections(s: SparkSession, d: str) -> DataFrame:
-    """W2, A14."""
-    return debt.inflections(_velocity(s, d)).filter("is_inflection").select("repo_id", "commit_id", "file_path", "velocity")
+    """W2, A14, over all histories and a long one of the fixtures."""
+    c = _commits(s, d).select("commit_id", "sha", "committed_at").unionByName(fixtures.frame(s, "commits").select("commit_id", "sha", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(day)").alias("committed_at")))
+    scores = _scores(s, d).select("repo_id", "commit_id", "file_path", "language", "total_score").unionByName(fixtures.frame(s, "scores"))
+    return debt.inflections(debt.velocity(scores, c)).filter("is_inflection").select("repo_id", "commit_id", "file_path", "velocity")
 
 
 @register(f"WITH {_Q_VELOCITY} SELECT repo_id, commit_id, file_path, total_score, velocity FROM vel WHERE velocity > 0 ORDER BY velocity DESC, repo_id, file_path, commit_id LIMIT 5")
@@ -119,11 +136,12 @@ def blame_report(s: SparkSession, d: str) -> DataFrame:
     return top.select(F.substring("sha", 1, 8).alias("short_sha"), "debt_introduced_score", "patterns_originated", "files_eventually_affected")
 
 
-@register(f"WITH {_Q_SCORES}, m AS (SELECT * FROM {_Q_COMMITS} ORDER BY committed_at DESC, sha LIMIT 30) SELECT m.commit_id, round(coalesce(avg(total_score), 0e0), 8) AS avg_score FROM m LEFT JOIN scores USING (commit_id) GROUP BY m.commit_id")
+@register(f"WITH {_Q_SCORES}, m AS (SELECT * FROM {_Q_COMMITS} ORDER BY committed_at DESC, sha LIMIT 30) SELECT m.commit_id, round(coalesce(avg(total_score), 0e0), 8) AS avg_score, row_number() OVER (ORDER BY committed_at, sha DESC)::INT AS place FROM m LEFT JOIN scores USING (commit_id) GROUP BY m.commit_id, committed_at, sha")
 def overview_trend(s: SparkSession, d: str) -> DataFrame:
-    """A1, O2: mean score of the thirty newest commits, 0 without one."""
-    newest = _commits(s, d).orderBy(F.col("committed_at").desc(), "sha").limit(30).select("commit_id")
-    return newest.join(_scores(s, d), "commit_id", "left").groupBy("commit_id").agg(F.round(F.coalesce(F.avg("total_score"), F.lit(0.0)), 8).alias("avg_score"))
+    """A1, O2: mean score of the thirty newest commits, 0 without one, from old to new by ``place``."""
+    newest = _commits(s, d).orderBy(F.col("committed_at").desc(), "sha").limit(30).select("commit_id", "committed_at", "sha")
+    newest = newest.withColumn("place", F.row_number().over(W.orderBy("committed_at", F.col("sha").desc()))).select("commit_id", "place")  # thirty rows
+    return newest.join(_scores(s, d), "commit_id", "left").groupBy("commit_id", "place").agg(F.round(F.coalesce(F.avg("total_score"), F.lit(0.0)), 8).alias("avg_score"))
 
 
 @register(f"SELECT (SELECT count(*) FROM {_Q_COMMITS}) AS commits, (SELECT count(DISTINCT (repo_id, file_path)) FROM code_chunks) AS files, (SELECT count(*) FROM {_Q_CLUSTERS} WHERE is_flagged OR growth_rate > 0.10) AS spreading")
@@ -161,12 +179,11 @@ def velocity_heatmap_latest(s: SparkSession, d: str) -> DataFrame:
     return g.withColumn("status", debt.velocity_status("velocity"))
 
 
-@register(f"WITH {_Q_VELOCITY}, first AS (SELECT repo_id, min(file_path) AS file_path FROM scores GROUP BY 1) SELECT repo_id, file_path, left(sha, 8) AS short_sha, total_score, velocity, strftime(committed_at, '%Y-%m-%d %H:%M:%S') AS committed FROM vel JOIN first USING (repo_id, file_path)")
+@register(f"WITH {_Q_VELOCITY} SELECT repo_id, file_path, left(sha, 8) AS short_sha, total_score, velocity, strftime(committed_at, '%Y-%m-%d %H:%M:%S') AS committed, row_number() OVER (PARTITION BY repo_id, file_path ORDER BY committed_at, sha, commit_id)::INT AS place FROM vel")
 def debt_timeline_file(s: SparkSession, d: str) -> DataFrame:
-    """The history of each repository's first file."""
-    first = _chunks(s, d).groupBy("repo_id").agg(F.min("file_path").alias("file_path"))
-    v = _velocity(s, d).join(first, ["repo_id", "file_path"], "left_semi")
-    return v.select("repo_id", "file_path", F.substring("sha", 1, 8).alias("short_sha"), "total_score", "velocity", _stamp("committed_at").alias("committed"))
+    """The dated history of every file, in order."""
+    place = F.row_number().over(W.partitionBy("repo_id", "file_path").orderBy("committed_at", "sha", "commit_id"))
+    return _velocity(s, d).select("repo_id", "file_path", F.substring("sha", 1, 8).alias("short_sha"), "total_score", "velocity", _stamp("committed_at").alias("committed"), place.alias("place"))
 
 
 @register("SELECT event_id, repo_id, lower(stage) AS stage, status, items_processed FROM (SELECT DISTINCT * FROM pipeline_events) ORDER BY created_at DESC, event_id LIMIT 50")
@@ -272,7 +289,8 @@ def line_explode_stats(s: SparkSession, d: str) -> DataFrame:
     return x.groupBy("language").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("characters"), F.max("line_number").cast("long").alias("longest"))
 
 
-def _detector_sql(name: str) -> str:
+def rule_sql(name: str) -> str:
+    """Number of the first rule of a detector that fits a line."""
     quote = lambda p: p.replace("'", "''")
     cases = []
     for i, r in enumerate(detectors.RULES):
@@ -286,20 +304,20 @@ def _detector_sql(name: str) -> str:
     guard = f"NOT regexp_matches(line, '^\\s*{detectors.COMMENTS[name][1:]}')" if name in detectors.COMMENTS else "true"
     if name == "DANGEROUS_FUNCTION":
         guard += " AND NOT contains(line, '# nosec')"
-    return f"WITH {_Q_LINES}, f AS (SELECT chunk_id, line_number::INT AS line_number, CASE {' '.join(cases)} END AS rule FROM lines WHERE {guard}) SELECT * FROM f WHERE rule IS NOT NULL"
+    return f"CASE WHEN {guard} THEN CASE {' '.join(cases)} END END"
 
 
 def _detector(name: str):
     def run(s: SparkSession, d: str) -> DataFrame:
         """A line detector over all chunks: the first rule that fits."""
-        x = X.explode_lines(spread(_chunks(s, d).select("chunk_id", "language", "raw_code")), "raw_code", "chunk_id", "language")
+        x = X.explode_lines(spread(_code(s, d)), "raw_code", "chunk_id", "language")
         return x.withColumn("rule", detectors.first_rule(name)).filter("rule is not null").select("chunk_id", "line_number", "rule")
 
     return run
 
 
 for _key, _name in (("secrets_explicit", "HARDCODED_SECRET"), ("sqli", "SQL_INJECTION"), ("dangerous", "DANGEROUS_FUNCTION"), ("random", "INSECURE_RANDOM"), ("redirect", "OPEN_REDIRECT")):
-    register(_detector_sql(_name), f"detect_{_key}")(_detector(_name))
+    register(f"WITH {_Q_LINES_FX}, f AS (SELECT chunk_id, line_number::INT AS line_number, {rule_sql(_name)} AS rule FROM lines) SELECT * FROM f WHERE rule IS NOT NULL", f"detect_{_key}")(_detector(_name))
 
 
 @register(rf"""WITH {_Q_LINES}, v AS (SELECT chunk_id, line_number::INT AS line_number, unnest(regexp_extract_all(line, '["'']([A-Fa-f0-9]{{32,64}})["'']', 1)) AS value FROM lines),
@@ -310,11 +328,20 @@ def detect_secrets_entropy(s: SparkSession, d: str) -> DataFrame:
     return detectors.entropy_findings(spread(_chunks(s, d).select("chunk_id", "raw_code")), "raw_code", "chunk_id", threshold=3.0)
 
 
-@register()
+def auth_sql(keys: str) -> str:
+    """D4 over ``lines`` for decorators of one line each, as all of the tables are."""
+    words = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
+    return rf"""deco AS (SELECT {keys}, line_number, line, line_number - row_number() OVER (PARTITION BY {keys} ORDER BY line_number) AS g FROM lines WHERE language = 'python' AND regexp_matches(line, '^\s*@\w')),
+runs AS (SELECT {keys}, g, min(line_number) AS first, max(line_number) AS last, flatten(list(string_split_regex(regexp_extract(line, '@(.*)', 1), '[\s.(]'))) AS names FROM deco GROUP BY ALL),
+auth AS (SELECT {keys}, first::INT AS line_number, regexp_extract(line, 'def\s+(\w+)', 1) AS function_name FROM runs JOIN lines l USING ({keys}) WHERE l.line_number = last + 1 AND regexp_matches(line, '^\s*(async )?def ')
+AND list_has_any(names, {words(V.ROUTE_DECORATORS)}) AND NOT list_has_any(names, {words(V.AUTH_DECORATORS)}))"""
+
+
+@register(f"WITH {_Q_LINES_FX}, {auth_sql('chunk_id')} SELECT * FROM auth")
 def detect_missing_auth(s: SparkSession, d: str) -> DataFrame:
     """D4."""
     ship(s)
-    return detectors.missing_auth(_chunks(s, d).filter("language = 'python'"), "raw_code", "chunk_id")
+    return detectors.missing_auth(_code(s, d).filter("language = 'python'"), "raw_code", "chunk_id")
 
 
 _CONFIG = {"naming_conventions": {"python": "snake_case", "ruby": "snake_case", "javascript": "camelCase", "typescript": "camelCase", "java": "camelCase", "go": "camelCase"}}
@@ -369,11 +396,13 @@ def body_tokens(s: SparkSession, d: str) -> DataFrame:
     return _chunks(s, d).filter("raw_code is not null").select("chunk_id", F.size(X.body_tokens("raw_code", "language")).alias("tokens"), X.complexity("raw_code", "language").alias("complexity"))
 
 
-@register("SELECT repo_id, greatest(0, 100 - sum(CASE severity WHEN 'high' THEN 10 WHEN 'medium' THEN 5 ELSE 2 END)) AS health_score FROM (SELECT repo_id, CASE WHEN trunc(complexity_score) > 20 THEN 'high' ELSE 'medium' END AS severity FROM code_chunks WHERE chunk_type IN ('function','method') AND trunc(complexity_score) > 20) GROUP BY 1")
+@register("""WITH v AS (SELECT repo_id, 5 AS w FROM code_chunks WHERE chunk_type IN ('function','method') AND end_line - start_line + 1 > 50
+UNION ALL SELECT repo_id, CASE WHEN trunc(complexity_score) > 20 THEN 10 ELSE 5 END FROM code_chunks WHERE chunk_type IN ('function','method') AND trunc(complexity_score) > 10)
+SELECT repo_id, greatest(0, 100 - coalesce(sum(w), 0)) AS health_score FROM repositories LEFT JOIN v USING (repo_id) GROUP BY 1""")
 def health_score(s: SparkSession, d: str) -> DataFrame:
-    """A15 of each repository by its highly complex functions."""
-    v = rules.chunk_violations(_chunks(s, d), keep=("repo_id",)).filter("rule_name = 'MAX_COMPLEXITY' and severity = 'high'")
-    return review.health_score(v, "repo_id").withColumn("health_score", F.col("health_score").cast("long"))
+    """A15 of each repository over all its violations; 100 without any."""
+    v = review.health_score(rules.chunk_violations(_chunks(s, d), keep=("repo_id",)), "repo_id")
+    return table(s, d, "repositories").select("repo_id").join(v, "repo_id", "left").select("repo_id", F.coalesce(F.col("health_score").cast("long"), F.lit(100)).alias("health_score"))
 
 
 @register("""WITH v AS (SELECT repo_id, 'medium' AS severity FROM code_chunks WHERE chunk_type IN ('function','method') AND end_line - start_line + 1 > 50
@@ -384,39 +413,6 @@ def severity_pivot(s: SparkSession, d: str) -> DataFrame:
     return review.severity_pivot(rules.chunk_violations(_chunks(s, d), keep=("repo_id",)), "repo_id")
 
 
-def _pr_findings(s: SparkSession, d: str) -> DataFrame:
-    f = table(s, d, "pr_files").select("pr_id", "pr_file_id", "filename", "content").distinct()
-    f = spread(f).filter(~X.should_skip("filename", "content"))
-    f = f.withColumn("language", F.coalesce(X.language_of("filename"), F.lit("")))
-    return detectors.findings(f, "content", "language", "pr_id", "pr_file_id")
-
-
-@register()
-def pr_findings(s: SparkSession, d: str) -> DataFrame:
-    """Findings of the files of pull requests, by severity."""
-    return _pr_findings(s, d).withColumn("rank", review.severity_rank("severity"))
-
-
-@register()
-def pr_review_summary(s: SparkSession, d: str) -> DataFrame:
-    """B11, X25."""
-    return review.review_summary(_pr_findings(s, d))
-
-
-@register()
-def pr_added_lines(s: SparkSession, d: str) -> DataFrame:
-    """X16, W9."""
-    f = table(s, d, "pr_files").filter("patch is not null").groupBy("pr_file_id").agg(F.max("patch").alias("patch"))
-    return review.added_lines(f, "patch", "pr_file_id")
-
-
-@register()
-def pr_inline_comments(s: SparkSession, d: str) -> DataFrame:
-    """K7, J14, O15."""
-    f = table(s, d, "pr_files").filter("patch is not null").groupBy("pr_file_id").agg(F.max("patch").alias("patch"))
-    return review.select_comments(_pr_findings(s, d), review.added_lines(f, "patch", "pr_file_id"), ("pr_file_id",))
-
-
 @register("""WITH q AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS c FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
 SELECT query_id, id, round(c, 6) AS cosine, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id)::INT AS rank FROM q QUALIFY rank <= 5""")
 def cosine_topk(s: SparkSession, d: str) -> DataFrame:
@@ -487,7 +483,7 @@ def semantic_duplicates(s: SparkSession, d: str) -> DataFrame:
     """For every fiftieth function, close functions elsewhere in its repository that pass the gate."""
     ship(s)
     f = _chunks(s, d).filter(F.col("chunk_type").isin("function", "method") & (F.trim("raw_code") != ""))
-    q = f.filter(F.pmod(F.crc32("chunk_id"), F.lit(50)) == 0)
+    q = review.embeddable(f).filter(F.pmod(F.crc32("chunk_id"), F.lit(50)) == 0)
     near = vectors.pairs_within(review.without_copies(f), q, "chunk_id", "embedding", ("repo_id", "language"), 0.03, "file_path")
     return review.semantic_duplicates(near, f)
 

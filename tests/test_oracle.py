@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from lodeweave.plans import queries as _  # noqa: F401
-from lodeweave.plans import registry
+from lodeweave.plans import registry, reports, reviews  # noqa: F401
 
 Q, SQL = registry.queries(), registry.oracle_sql()
 
