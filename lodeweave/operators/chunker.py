@@ -1,7 +1,7 @@
 """Chunks of source files as a table function (T1, T2, T4): one row per file in, one per function or class out.
 
-Python files are cut by the standard syntax tree. Other languages need a grammar that is registered with ``register_chunker``;
-without one their files give no rows.
+Python files are cut by the standard syntax tree, ten other languages by the scanners of ``scanners``; a chunker of one's own is
+registered with ``register_chunker``. Files of other languages give no rows.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.functions.text import language_of, should_skip
+from lodeweave.operators.scanners import LANGUAGES, scanner
 
 #: (name, type, first line, last line, complexity) of every chunk of a text.
 Chunks = list[tuple[str, str, int, int, int]]
@@ -50,7 +51,7 @@ def python_chunks(text: str, mode: str = "history") -> Chunks:
     return out
 
 
-_CHUNKERS: dict[str, Callable[[str, str], Chunks]] = {"python": python_chunks}
+_CHUNKERS: dict[str, Callable[[str, str], Chunks]] = {"python": python_chunks, **{n: scanner(n) for n in LANGUAGES}}
 
 
 def register_chunker(language: str, chunker: Callable[[str, str], Chunks]) -> None:

@@ -101,3 +101,30 @@ def match_identities(fresh: DataFrame, clusters: DataFrame, max_distance: float
     named = fresh.select("repo_id", "language", F.col("new_id").alias("chunk_id"), F.col("centroid").alias("embedding"))
     found = nearest_centroids(named, clusters, max_distance)
     return fresh.select("new_id").join(found.select(F.col("chunk_id").alias("new_id"), F.col("cluster_id").alias("continues"), "similarity_score"), "new_id", "left")
+
+
+def fast_assignment(chunks: DataFrame, clusters: DataFrame, memberships: DataFrame) -> DataFrame:
+    """V2: the nearest centroid for the chunks that have no membership yet."""
+    return nearest_centroids(chunks.join(memberships.select("chunk_id"), "chunk_id", "left_anti"), clusters)
+
+
+def clustering_run(chunks: DataFrame, clusters: DataFrame, commits: DataFrame) -> DataFrame:
+    """V9, V3 to V8 over all keys at once: a row per density cluster of today.
+
+    ``cluster`` (its least core chunk), ``repo_id``, ``language``, ``continues`` (the stored cluster, null for a new one),
+    ``centroid_hash`` (the stored one, else X2), ``members``, ``files``, ``growth`` against the stored count (0 for a new one), ``flagged`` and
+    ``origin_commit_id``, the first commit of its members.
+    """
+    labels = dbscan(chunks, "chunk_id", "embedding").select(F.col("id").alias("chunk_id"), "cluster")
+    rows = labels.join(chunks.select("chunk_id", "repo_id", "language", "commit_id", "file_path", "embedding"), "chunk_id").persist()
+    cen = mean_vectors(rows, "cluster", "embedding", 12).select("cluster", "centroid")
+    when = rows.join(commits.select("commit_id", "committed_at", "sha"), "commit_id", "left")
+    stats = when.groupBy("cluster", "repo_id", "language").agg(F.count(F.lit(1)).alias("members"), F.countDistinct("file_path").alias("files"), F.min_by("commit_id", F.struct("committed_at", "sha")).alias("origin_commit_id"))
+    fresh = stats.join(cen, "cluster").persist()
+    match = match_identities(fresh.select("repo_id", "language", F.col("cluster").alias("new_id"), "centroid"), clusters).select(F.col("new_id").alias("cluster"), "continues")
+    own = centroid_hash(fresh, "cluster", "centroid").withColumnRenamed("centroid_hash", "_new")
+    old = cluster_snapshot(clusters).select(F.col("cluster_id").alias("continues"), F.col("centroid_hash").alias("_old"), "chunk_count")
+    out = fresh.drop("centroid").join(match, "cluster").join(own, "cluster").join(old, "continues", "left")
+    growth = F.when(F.col("chunk_count") > 0, (F.col("members") - F.col("chunk_count")) / F.col("chunk_count")).otherwise(0.0)
+    flag = (growth > V.FLAG_GROWTH) & (F.col("members") >= V.MIN_SAMPLES)
+    return out.select("cluster", "repo_id", "language", "continues", F.coalesce("_old", "_new").alias("centroid_hash"), "members", "files", F.round(growth, 4).alias("growth"), flag.alias("flagged"), "origin_commit_id")

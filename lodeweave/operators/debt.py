@@ -50,6 +50,17 @@ def velocity(scores: DataFrame, commits: DataFrame, previous: DataFrame | None =
     return dated.withColumn("velocity", F.round(F.coalesce(F.col("total_score") - before, F.lit(0.0)), 4)).drop("_last")
 
 
+def debt_run(stored: DataFrame, chunks: DataFrame, memberships: DataFrame, violations: DataFrame, commits: DataFrame) -> DataFrame:
+    """B2: scores and velocities of new commits' ``chunks``; ``stored`` (repo_id, commit_id, file_path, total_score) are earlier scores.
+
+    The last stored score of a file precedes its first new one. The new commits are taken to come after the stored ones.
+    """
+    dated = stored.join(commits.select("commit_id", "committed_at", "sha"), "commit_id")
+    last = dated.groupBy("repo_id", "file_path").agg(F.max_by("total_score", F.struct("committed_at", "sha")).alias("total_score"))
+    fresh = debt_scores(chunks, memberships, violations)
+    return velocity(fresh, commits, last).select("repo_id", "commit_id", "file_path", "total_score", "velocity")
+
+
 def inflections(with_velocity: DataFrame) -> DataFrame:
     """Of at least three scores of a file, those whose rise exceeds the mean by two population deviations."""
     w = W.partitionBy("repo_id", "file_path")

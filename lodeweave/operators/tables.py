@@ -53,6 +53,27 @@ def retry(failed: DataFrame, task_id: str) -> DataFrame:
     return update_where(failed, F.col("task_id") == task_id, {"retry_count": F.col("retry_count") + 1})
 
 
+def dead_letters(events: DataFrame) -> DataFrame:
+    """K9: tasks whose last event is a failure: ``task_id``, ``stage``, ``error_message`` (2,000 characters) and ``retries``; append to the failed tasks."""
+    e = events.filter("task_id <> ''").groupBy("task_id").agg(F.max_by(F.struct("status", "stage", "error_message"), F.struct("created_at", "event_id")).alias("_l"), F.count_if(F.col("status") == "failed").alias("retries"))
+    return e.filter("_l.status = 'failed'").select("task_id", F.lower("_l.stage").alias("stage"), F.substring("_l.error_message", 1, 2000).alias("error_message"), "retries")
+
+
+def append(rows: DataFrame, path: str, keys: list[str]) -> None:
+    """K2, K9: rows whose keys a parquet table lacks are appended, so that a repeated write adds nothing."""
+    spark = rows.sparkSession
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    old = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    new = rows.dropDuplicates(keys)
+    (new.join(spark.read.parquet(path).select(*keys), keys, "left_anti") if old else new).write.mode("append").parquet(path)
+
+
+def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """``n`` rows without replacement, the first by a hash of the key and the seed."""
+    return rows.orderBy(F.sha2(F.concat(F.col(key), F.lit(f":{seed}")), 256), key).limit(n)
+
+
 def backfill_code(chunks: DataFrame, whole: str = "module") -> DataFrame:
     """``chunk_id`` and ``raw_code`` of chunks without code: lines ``start_line`` to ``end_line`` of their file, without blanks at the end.
 

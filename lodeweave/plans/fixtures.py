@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _AUTH = "import flask\n\n@app.route('/open')\ndef open_page():\n    return 1\n\n\n@app.get('/kept')\n@login_required\ndef kept():\n    return 2\n\n\n@cached\ndef plain():\n    return 3\n"
 _BAD = 'password = "hunter22x"\nx = eval(data)\ncur.execute("SELECT * FROM t WHERE a = " + b)\nimport random\nrandom.choice(a)\nreturn redirect(request.args["next"])\n'
+_TWIN = "def load_price_table(path):\n    price_rows = []\n" + "".join(f"    price_rows.append(read_price(path, {i}))\n" for i in range(21)) + "    return price_rows"
 #: name -> (schema, rows)
 TABLES: dict[str, tuple[str, list[tuple]]] = {
     "code": ("chunk_id string, language string, raw_code string", [
@@ -24,6 +25,11 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     "scores": ("repo_id string, commit_id string, file_path string, language string, total_score double", [("fx", f"fx-{i}", "f.py", "python", s) for i, s in enumerate([1.0, 1.1, 1.2, 1.3, 1.4, 1.5, 1.6, 9.0])]),
     "commits": ("commit_id string, sha string, day int", [(f"fx-{i}", f"fxsha{i}", i) for i in range(8)]),
     "stamps": ("id int, stamp string", [(1, "2024-05-01T10:20:30Z"), (2, "2024-05-01T10:20:30+02:00"), (3, "not a time"), (4, None), (5, "2024-13-01T00:00:00Z")]),
+    "twins": ("chunk_id string, repo_id string, commit_id string, file_path string, chunk_name string, chunk_type string, language string, start_line int, end_line int, complexity_score double, raw_code string, embedding string", [
+        ("fx-q220", "fx", "fx-0", "apps/orders/prices.py", "load_price_table", "function", "python", 1, 24, 5.0, _TWIN, "1,0,0,0"), ("fx-t1", "fx", "fx-0", "apps/stock/tables.py", "load_price_table", "function", "python", 5, 28, 5.0, _TWIN, "1,0.01,0,0"),
+        ("fx-t2", "fx", "fx-0", "apps/orders/views.py", "load_price_table", "function", "python", 1, 24, 5.0, _TWIN, "1,0.02,0,0"), ("fx-t3", "fx", "fx-0", "apps/stock/maps.py", "draw_map", "function", "python", 1, 24, 5.0, _TWIN, "1,0,0.01,0"),
+        ("fx-whole", "fx", "fx-0", "apps/whole.py", "whole", "module", "python", 1, 6, 1.0, "import os\n\n\ndef f():\n    return os.name  \n", "0,0,0,1"), ("fx-cut", "fx", "fx-0", "apps/whole.py", "f", "function", "python", 4, 5, 1.0, None, "0,0,1,0"),
+    ]),
     "urls": ("id int, url string", [(1, "https://github.com/a/b"), (2, "http://github.com/a/b"), (3, "https://example.org/a"), (4, "https://x@github.com/a"), (5, None), (6, "git@github.com:a/b")]),
 }
 

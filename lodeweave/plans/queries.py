@@ -390,7 +390,16 @@ def name_tokens(s: SparkSession, d: str) -> DataFrame:
     return _chunks(s, d).select("chunk_id", F.array_join(X.name_tokens("chunk_name"), " ").alias("tokens"))
 
 
-@register()
+def _branches_sql() -> str:
+    cases = " ".join(f"WHEN '{k}' THEN len(regexp_extract_all(raw_code, '{p}'))" for k, p in V.BRANCHES.items())
+    return f"(CASE language {cases} ELSE len(regexp_extract_all(raw_code, '{V.OTHER_BRANCHES}')) END + 1)::INT"
+
+
+@register(rf"""WITH b AS (SELECT chunk_id, raw_code, language, CASE WHEN language = 'python' THEN array_to_string(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(raw_code, '\"\"\"[\s\S]*?\"\"\"', '', 'g'), '''''''[\s\S]*?''''''', '', 'g'), '#[^\n]*', '', 'g'), chr(10)), lambda x: NOT regexp_matches(x, '^\s*(import |from \S+ import)')), chr(10))
+  WHEN language IN ('javascript', 'typescript', 'tsx') THEN array_to_string(list_filter(string_split(regexp_replace(regexp_replace(raw_code, '/\*[\s\S]*?\*/', '', 'g'), '//[^\n]*', '', 'g'), chr(10)), lambda x: NOT regexp_matches(x, '^\s*import ')), chr(10))
+  WHEN language IN ('java', 'go', 'rust', 'c', 'cpp', 'php', 'ruby') THEN regexp_replace(regexp_replace(raw_code, '/\*[\s\S]*?\*/', '', 'g'), '//[^\n]*', '', 'g') ELSE raw_code END AS t FROM code_chunks WHERE raw_code IS NOT NULL),
+w AS (SELECT *, list_transform(regexp_extract_all(t, '\b[a-zA-Z][a-zA-Z0-9_]{{3,}}\b'), lambda x: lower(x)) AS a FROM b)
+SELECT chunk_id, len(list_filter(list_distinct(list_concat(a, list_filter(flatten(list_transform(a, lambda x: string_split(x, '_'))), lambda p: length(p) >= 3))), lambda x: NOT list_contains([{", ".join(f"'{w}'" for w in V.STOP_WORDS)}], x)))::INT AS tokens, {_branches_sql()} AS complexity FROM w""")
 def body_tokens(s: SparkSession, d: str) -> DataFrame:
     """Distinct body tokens of each chunk."""
     return _chunks(s, d).filter("raw_code is not null").select("chunk_id", F.size(X.body_tokens("raw_code", "language")).alias("tokens"), X.complexity("raw_code", "language").alias("complexity"))
@@ -440,12 +449,6 @@ def centroids(s: SparkSession, d: str) -> DataFrame:
     return m.select("cluster_id", "members", F.round(F.sqrt(F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x * x)), 4).alias("centroid_norm"))
 
 
-@register()
-def membership_similarity(s: SparkSession, d: str) -> DataFrame:
-    """V7."""
-    return cluster.membership_similarity(table(s, d, "cluster_memberships"), _chunks(s, d))
-
-
 @register(f"""WITH n AS (SELECT cluster_id, count(*) AS new_count, count(DISTINCT file_path) AS new_files FROM (SELECT DISTINCT cluster_id, chunk_id FROM cluster_memberships) JOIN code_chunks USING (chunk_id) GROUP BY 1),
 g AS (SELECT k.cluster_id, coalesce(new_count, 0) AS new_count, coalesce(new_files, 0) AS new_files, CASE WHEN chunk_count > 0 THEN (coalesce(new_count, 0) - chunk_count) / chunk_count ELSE 0 END AS x FROM {_Q_CLUSTERS} k LEFT JOIN n USING (cluster_id))
 SELECT cluster_id, new_count, new_files, round(x, 4) AS growth, x > 0.20 AND new_count >= 3 AS flagged FROM g""")
@@ -454,13 +457,6 @@ def cluster_growth(s: SparkSession, d: str) -> DataFrame:
     return cluster.cluster_growth(table(s, d, "semantic_clusters"), table(s, d, "cluster_memberships"), _chunks(s, d))
 
 
-@register()
-def dbscan_labels(s: SparkSession, d: str) -> DataFrame:
-    """Density clusters of each repository and language."""
-    ship(s)
-    return cluster.dbscan(_chunks(s, d), "chunk_id", "embedding")
-
-
 @register()
 def centroid_hashes(s: SparkSession, d: str) -> DataFrame:
     """X2."""
@@ -468,7 +464,6 @@ def centroid_hashes(s: SparkSession, d: str) -> DataFrame:
     return cluster.centroid_hash(cluster.cluster_snapshot(table(s, d, "semantic_clusters")).filter("centroid is not null"), "cluster_id", "centroid")
 
 
-@register()
 def debt_impact(s: SparkSession, d: str) -> DataFrame:
     """The clusters that the chunks of each commit would grow most."""
     ship(s)
@@ -482,7 +477,8 @@ def debt_impact(s: SparkSession, d: str) -> DataFrame:
 def semantic_duplicates(s: SparkSession, d: str) -> DataFrame:
     """For every fiftieth function, close functions elsewhere in its repository that pass the gate."""
     ship(s)
-    f = _chunks(s, d).filter(F.col("chunk_type").isin("function", "method") & (F.trim("raw_code") != ""))
+    twins = fixtures.frame(s, "twins").withColumn("embedding", F.split("embedding", ",").cast("array<float>"))
+    f = _chunks(s, d).select(*twins.columns).unionByName(twins).filter(F.col("chunk_type").isin("function", "method") & (F.trim("raw_code") != ""))
     q = review.embeddable(f).filter(F.pmod(F.crc32("chunk_id"), F.lit(50)) == 0)
     near = vectors.pairs_within(review.without_copies(f), q, "chunk_id", "embedding", ("repo_id", "language"), 0.03, "file_path")
     return review.semantic_duplicates(near, f)
@@ -495,13 +491,14 @@ def raw_code_slice(s: SparkSession, d: str) -> DataFrame:
     return m.select("chunk_id", F.array_join(F.slice(F.split("raw_code", "\n", -1), 1, 5), "\n").alias("head"))
 
 
-@register(r"""WITH m AS (SELECT repo_id, commit_id, file_path, arg_min(raw_code, chunk_id) AS whole FROM code_chunks WHERE chunk_type = 'module' AND raw_code IS NOT NULL GROUP BY ALL),
+@register(f"WITH allc AS (SELECT chunk_id, repo_id, commit_id, file_path, chunk_type, start_line, end_line, raw_code FROM code_chunks UNION ALL SELECT chunk_id, repo_id, commit_id, file_path, chunk_type, start_line, end_line, raw_code FROM {fixtures.sql('twins')})," + r"""m AS (SELECT repo_id, commit_id, file_path, arg_min(raw_code, chunk_id) AS whole FROM allc WHERE chunk_type = 'module' AND raw_code IS NOT NULL GROUP BY ALL),
 n AS (SELECT chunk_id, regexp_replace(array_to_string(string_split_regex(whole, '\r\n|\r|\n')[greatest(1, start_line):end_line], chr(10)), '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '') AS raw_code
-  FROM code_chunks c JOIN m USING (repo_id, commit_id, file_path) WHERE c.raw_code IS NULL AND end_line >= greatest(1, start_line))
+  FROM allc c JOIN m USING (repo_id, commit_id, file_path) WHERE c.raw_code IS NULL AND end_line >= greatest(1, start_line))
 SELECT chunk_id, raw_code FROM n WHERE raw_code <> ''""")
 def raw_code_backfill(s: SparkSession, d: str) -> DataFrame:
     """The code of every chunk without one, cut out of its whole file."""
-    return tables.backfill_code(_chunks(s, d))
+    cols = ["chunk_id", "repo_id", "commit_id", "file_path", "chunk_type", "start_line", "end_line", "raw_code"]
+    return tables.backfill_code(_chunks(s, d).select(*cols).unionByName(fixtures.frame(s, "twins").select(*cols)))
 
 
 @register("SELECT commit_id, left(sha, 8) AS short_sha, left(string_split(message, chr(10))[1], 80) AS first_line FROM (SELECT * FROM commits QUALIFY row_number() OVER (PARTITION BY commit_id ORDER BY ingested_at, sha) = 1)")
@@ -542,27 +539,25 @@ def embeddable_chunks(s: SparkSession, d: str) -> DataFrame:
     return _chunks(s, d).filter(F.col("chunk_type").isin("function", "method") & ok).select("chunk_id")
 
 
-@register("WITH n AS (SELECT DISTINCT pr_file_id, pr_id FROM pr_files) SELECT n.pr_id, count(*) AS files FROM n GROUP BY 1")
-def insert_new_pr_files(s: SparkSession, d: str) -> DataFrame:
-    """K1 on an empty table: every file of a pull request once."""
-    f = table(s, d, "pr_files").select("pr_file_id", "pr_id", "fetched_at")
-    new = tables.insert_if_absent(f.limit(0), f, ["pr_file_id"], ["fetched_at", "pr_id"])
-    return new.groupBy("pr_id").agg(F.count(F.lit(1)).alias("files"))
+@register()
+def python_chunks(s: SparkSession, d: str) -> DataFrame:
+    """Functions and classes of the whole Python files."""
+    ship(s)
+    files = _chunks(s, d).filter("chunk_type = 'module' and language = 'python'")
+    return chunker.chunk_files(spread(files.select("chunk_id", "file_path", "raw_code")), "file_path", "raw_code", "chunk_id")
 
 
 @register()
-def centroid_match(s: SparkSession, d: str) -> DataFrame:
-    """V4 to V6: the mean of each cluster's members today against the stored centroids of its repository and language."""
+def file_chunks(s: SparkSession, d: str) -> DataFrame:
+    """Functions and classes of the whole files of every language, as history is cut."""
     ship(s)
-    stored = table(s, d, "semantic_clusters")
-    rows = table(s, d, "cluster_memberships").select("cluster_id", "chunk_id").distinct().join(_chunks(s, d).filter("embedding is not null").select("chunk_id", "embedding"), "chunk_id")
-    fresh = vectors.mean_vectors(rows, "cluster_id", "embedding", 12).join(cluster.cluster_snapshot(stored).select("cluster_id", "repo_id", "language"), "cluster_id")
-    return cluster.match_identities(fresh.withColumnRenamed("cluster_id", "new_id"), stored)
+    files = _chunks(s, d).filter("chunk_type = 'module'")
+    return chunker.chunk_files(spread(files.select("chunk_id", "file_path", "raw_code")), "file_path", "raw_code", "chunk_id")
 
 
 @register()
-def python_chunks(s: SparkSession, d: str) -> DataFrame:
-    """Functions and classes of the whole Python files."""
+def pr_chunks(s: SparkSession, d: str) -> DataFrame:
+    """Functions and methods of the files of pull requests, nested ones too."""
     ship(s)
-    files = _chunks(s, d).filter("chunk_type = 'module' and language = 'python'")
-    return chunker.chunk_files(spread(files.select("chunk_id", "file_path", "raw_code")), "file_path", "raw_code", "chunk_id")
+    files = table(s, d, "pr_files").select("pr_file_id", "filename", "content").distinct()
+    return chunker.chunk_files(spread(files), "filename", "content", "pr_file_id", mode="review")
