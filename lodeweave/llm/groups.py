@@ -53,15 +53,61 @@ def link(x: np.ndarray, min_cos: float) -> np.ndarray:
     return least[label]
 
 
+def _home(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centre of each row and the cosine to it."""
+    cells, cos = np.empty(len(x), np.int32), np.empty(len(x), np.float32)
+    for i in range(0, len(x), 4096):
+        s = x[i : i + 4096] @ centres.T
+        cells[i : i + 4096] = s.argmax(1)
+        cos[i : i + 4096] = s.max(1)
+    return cells, cos
+
+
+def cross(x: np.ndarray, y: np.ndarray, min_cos: float, block: int = 512) -> np.ndarray:
+    """Label (least number) of each row of ``x`` and then of ``y`` under the links between the two; links within one are not looked at."""
+    n = len(x)
+    label = np.arange(n + len(y))
+    for i in range(0, n, block):
+        r, c = np.nonzero(x[i : i + block] @ y.T >= min_cos - 1e-5)
+        src, dst = r + i, c + n
+        near = np.concatenate([np.einsum("nd,nd->n", x[src[k : k + 65536]].astype(np.float64), y[c[k : k + 65536]].astype(np.float64)) for k in range(0, len(c), 65536)]) if len(c) else np.empty(0)
+        src, dst = src[near >= min_cos], dst[near >= min_cos]
+        while len(src):
+            least = np.minimum(label[src], label[dst])
+            if (label[src] == least).all() and (label[dst] == least).all():
+                break
+            for at in (label[src], label[dst], src, dst):  # roots first, so that what hangs on them comes along
+                np.minimum.at(label, at, least)
+            while (label[label] != label).any():
+                label = label[label]
+    return label
+
+
+def _partners(centres: np.ndarray, radius: np.ndarray, parts: np.ndarray, theta: float) -> list[list[list[tuple[int, int]]]]:
+    """For each cell and part of it the pairs of blocks it takes part in: two cells meet unless their centres are further apart than both radii and the linking angle."""
+    first = np.concatenate([[0], np.cumsum(parts)])
+    out: list[list[list[tuple[int, int]]]] = [[[] for _ in range(p)] for p in parts]
+    for i in range(len(centres)):
+        angle = np.arccos(np.clip(centres[i:].astype(np.float64) @ centres[i].astype(np.float64), -1, 1))
+        for j in i + np.nonzero(angle <= radius[i] + radius[i:] + theta + 1e-3)[0]:
+            for p in range(parts[i]):
+                for q in range(p if i == j else 0, parts[j]):
+                    pair = (int(first[i] + p), int(first[j] + q))
+                    out[i][p].append(pair)
+                    if (i, p) != (j, q):
+                        out[j][q].append(pair)
+    return out
+
+
 def similarity_groups(df: DataFrame, id_col: str, vector: str, keys: list[str], min_cos: float = 0.85, min_size: int = 3,
-                      cell_rows: int = 4096, sample_rows: int = 65536, probes: int = 4, slack: float = 0.3, with_vectors: bool = False) -> DataFrame:
+                      cell_rows: int = 8192, sample_rows: int = 65536, with_vectors: bool = False) -> DataFrame:
     """Groups of linked vectors: ``keys``, ``id``, ``group_id`` (its least id), ``chunk_count`` and, on demand, ``vec``.
 
     Two rows of equal ``keys`` are linked at a cosine of at least ``min_cos``; groups are the components of at least
-    ``min_size`` rows. Keys of up to ``cell_rows`` distinct vectors form one cell each, where links are exact. A larger key is
-    first split across the cluster by a bisecting k-means tree fitted on a bounded sample (``sample_rows`` in all, chosen by
-    hash); its rows go to the up to ``probes`` cells whose centre is within ``slack`` of the nearest, and components are
-    joined across cells. Copies of a vector within a key are one node.
+    ``min_size`` rows, exactly, whatever the size of a key. Keys of up to ``cell_rows`` distinct vectors form one cell each. A larger
+    key is first split across the cluster by a bisecting k-means tree fitted on a bounded sample (``sample_rows`` in all, chosen by
+    hash), whose overfull cells are cut again by a hash; every two cells meet whose centres and radii (measured on all rows) do
+    not rule a link out, and components are joined over all of them. Copies of a vector within a key are one node.
 
     Null, zero and NaN-bearing vectors belong to no group; null keys are a key of their own; rows that repeat an id and its vector count once; an
     empty table gives an empty result. Columns other than those named are ignored, whatever their names.
@@ -72,49 +118,87 @@ def similarity_groups(df: DataFrame, id_col: str, vector: str, keys: list[str],
     rows = rows.withColumn("key", F.xxhash64(*(F.coalesce(F.col(n), F.lit("\0")) for n in names)))
     rows = rows.withColumn("k1", F.xxhash64("vec", "key")).withColumn("k2", F.xxhash64("key", "vec", F.lit(1))).persist()
     nodes = rows.groupBy("key", "k1", "k2").agg(F.min("id").alias("rep"), F.first("vec").alias("vec")).persist()
-    large = nodes.groupBy("key").count().filter(F.col("count") > cell_rows).toArrow().to_pydict()
-    sizes = dict(zip(large["key"], large["count"], strict=True))
+    sizes_of = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).persist()
+    large = sizes_of.filter(F.col("n") > cell_rows)
+    got = large.toArrow().to_pydict()  # one row for at least cell_rows rows
+    sizes = dict(zip(got["key"], got["n"], strict=True))
+    total = sizes_of.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     centres: dict[int, np.ndarray] = {}
+    partners: dict[int, list[list[list[tuple[int, int]]]]] = {}
+    theta = float(np.arccos(min_cos))
     if sizes:
         every = max(1, sum(sizes.values()) // sample_rows)
-        got = nodes.filter(F.col("key").isin(list(sizes)) & (F.pmod("k1", F.lit(every)) == 0)).select("key", "vec").toArrow()
-        at, x = got.column(0).to_numpy(), unpack(got.column(1))
+        drawn = nodes.filter(F.pmod("k1", F.lit(every)) == 0).join(F.broadcast(large.select("key")) if len(sizes) < 100_000 else large.select("key"), "key", "left_semi").select("key", "vec").toArrow()
+        at, x = drawn.column(0).to_numpy(), unpack(drawn.column(1))
         for key, n in sizes.items():
             own = x[at == key]
             if len(own):
                 centres[key] = trees.centres(own, trees.bisect(own, max(8, -(-len(own) * cell_rows // (2 * n)))))
 
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                key = b.column(0).to_numpy()
+                for k, c in centres.items():
+                    mine = np.nonzero(key == k)[0]
+                    if len(mine):
+                        cells, cos = _home(unpack(b.column(1).take(pa.array(mine))), c)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), k)), pa.array(cells), pa.array(cos.astype(np.float64))], names=["key", "cell", "cos"])
+
+        told = nodes.select("key", "vec").mapInArrow(measure, "key long, cell int, cos double").groupBy("key", "cell").agg(F.min("cos").alias("cos"), F.count(F.lit(1)).alias("n")).toArrow().to_pydict()  # a row a cell
+        radius = {k: np.zeros(len(c)) for k, c in centres.items()}
+        parts = {k: np.ones(len(c), int) for k, c in centres.items()}
+        for k, cell, cos, n in zip(told["key"], told["cell"], told["cos"], told["n"], strict=True):
+            radius[k][cell], parts[k][cell] = np.arccos(np.clip(cos - 1e-6, -1, 1)), -(-n // cell_rows)
+        partners = {k: _partners(c, radius[k], parts[k], theta) for k, c in centres.items()}
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             key = b.column(0).to_numpy()
-            r, cell = np.nonzero(~np.isin(key, list(centres)))[0], None
-            cell = np.full(len(r), -1, np.int32)
+            alone = np.nonzero(~np.isin(key, list(centres)))[0]
+            r, low, high, me = [alone], [np.full(len(alone), -1)], [np.full(len(alone), -1)], [np.full(len(alone), -1)]
             for k, c in centres.items():
                 mine = np.nonzero(key == k)[0]
-                if len(mine):
-                    cells, good = trees.probes(unpack(b.column(2).take(pa.array(mine))), c, probes, slack)
-                    i, j = np.nonzero(good)
-                    r, cell = np.concatenate([r, mine[i]]), np.concatenate([cell, cells[i, j]])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), pa.array(cell, pa.int32()), b.column(1).take(pa.array(r)), b.column(2).take(pa.array(r))], names=["key", "cell", "rep", "vec"])
+                if not len(mine):
+                    continue
+                cells, _ = _home(unpack(b.column(2).take(pa.array(mine))), c)
+                part = (b.column(3).take(pa.array(mine)).to_numpy() >> 7) % np.array([len(p) for p in partners[k]])[cells]
+                first = np.concatenate([[0], np.cumsum([len(p) for p in partners[k]])])
+                for i, p in {*zip(cells.tolist(), part.tolist(), strict=True)}:
+                    at = mine[(cells == i) & (part == p)]
+                    pairs = np.array(partners[k][i][p])
+                    r.append(np.repeat(at, len(pairs)))
+                    low.append(np.tile(pairs[:, 0], len(at)))
+                    high.append(np.tile(pairs[:, 1], len(at)))
+                    me.append(np.full(len(at) * len(pairs), first[i] + p))
+            take = pa.array(np.concatenate(r))
+            three = [pa.array(np.concatenate(v).astype(np.int32)) for v in (low, high, me)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), *three, b.column(1).take(take), b.column(2).take(take)], names=["key", "low", "high", "me", "rep", "vec"])
 
     def components(t: pa.Table) -> pa.Table:
-        key, cell, x, rep = t.column("key").to_numpy(), t.column("cell").to_numpy(), unpack(t.column("vec")), t.column("rep").combine_chunks()
-        order = np.lexsort((cell, key))
-        cuts = np.nonzero((np.diff(key[order]) != 0) | (np.diff(cell[order]) != 0))[0] + 1
+        key, low, high, me = (t.column(c).to_numpy() for c in ("key", "low", "high", "me"))
+        x, rep = unpack(t.column("vec")), t.column("rep").combine_chunks()
+        order = np.lexsort((high, low, key))
+        cuts = np.nonzero((np.diff(key[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0))[0] + 1
         src, dst = [], []
         for rows_ in np.split(order, cuts):
             if len(rows_) > 1:
-                label = link(x[rows_], min_cos)
+                if low[rows_[0]] == high[rows_[0]]:
+                    label = link(x[rows_], min_cos)
+                else:
+                    rows_ = rows_[np.argsort(me[rows_], kind="stable")]
+                    n = int((me[rows_] == low[rows_[0]]).sum())
+                    label = cross(x[rows_[:n]], x[rows_[n:]], min_cos)
                 other = label != np.arange(len(rows_))
                 src.append(rows_[other])
                 dst.append(rows_[label[other]])
         a = np.concatenate(src) if src else np.empty(0, np.int64)
         b = np.concatenate(dst) if dst else np.empty(0, np.int64)
-        return pa.table({"src": rep.take(pa.array(a)), "dst": rep.take(pa.array(b)), "final": pa.array(cell[a] < 0)})
+        return pa.table({"src": rep.take(pa.array(a)), "dst": rep.take(pa.array(b)), "final": pa.array(low[a] < 0)})
 
-    placed = nodes.select("key", "rep", "vec").mapInArrow(assign, "key long, cell int, rep string, vec binary")
-    buckets = max(12, sum(sizes.values()) * 2 // cell_rows, nodes.count() // 8192)
-    stars = placed.groupBy(F.pmod(F.xxhash64("key", "cell"), F.lit(buckets)).alias("bucket")).applyInArrow(components, "src string, dst string, final boolean").persist()
+    placed = nodes.select("key", "rep", "vec", "k1").mapInArrow(assign, "key long, low int, high int, me int, rep string, vec binary")
+    copies = sum(sizes[k] * max(1, np.mean([len(q) for p in ps for q in p])) for k, ps in partners.items())
+    buckets = max(12, int(copies + total) // cell_rows)
+    stars = placed.groupBy(F.pmod(F.xxhash64("key", "low", "high"), F.lit(buckets)).alias("bucket")).applyInArrow(components, "src string, dst string, final boolean").persist()
     comp = stars.filter("final").select(F.col("src").alias("rep"), F.col("dst").alias("root"))
     comp = comp.unionByName(comp.select(F.col("root").alias("rep"), "root").distinct())
     if centres:

@@ -35,6 +35,14 @@ def test_link_is_exact():
     assert (groups.link(x, 0.85) == want).all()
 
 
+def test_cross_links():
+    x = clustered(300, 40, noise=0.45).astype(np.float32)
+    near = x.astype(float) @ x.astype(float).T >= 0.85
+    near[:120, :120] = near[120:, 120:] = False
+    np.fill_diagonal(near, True)
+    assert (groups.cross(x[:120], x[120:], 0.85, block=50) == components(near)).all()
+
+
 def _frame(spark, x, keys="r"):
     rows = [(f"i{i:04}", "r" if i % 3 else "q", "l", [float(v) for v in row], 1.0) for i, row in enumerate(x)]
     rows += [("null", "r", "l", None, 1.0), ("zero", "r", "l", [0.0] * x.shape[1], 1.0), ("nan", "r", "l", [float("nan")] * x.shape[1], 1.0), (None, "r", "l", [float(v) for v in x[0]], 1.0)]
@@ -54,7 +62,7 @@ def test_groups_against_brute_force_with_cells(spark):
             m = at[label == k]
             if len(m) >= 3:
                 want |= {(f"i{a:04}", f"i{b:04}") for a in m for b in m if a < b}
-    for cell_rows in (4096, 150):  # one cell, and cells that a tree cuts
+    for cell_rows in (4096, 150, 7):  # one cell, cells that a tree cuts, and at least fifty of them
         got = groups.similarity_groups(df, "id", "vec", ["repo", "lang"], cell_rows=cell_rows)
         assert set(map(tuple, groups.group_pairs(got).collect())) == want
     top = groups.describe(groups.similarity_groups(df, "id", "vec", ["repo", "lang"], with_vectors=True), ["repo", "lang"], top=2)
