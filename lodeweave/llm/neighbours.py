@@ -73,7 +73,7 @@ def _probes(v: np.ndarray, coarse: np.ndarray, fine: list[np.ndarray], most: int
 
 
 def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, min_cos: float = 0.85, shard_rows: int = 16384,
-            sample_rows: int = 40000, shards_per_query: int = 6, slack: float = 0.25, degree: int = 18, beam: int = 24, most_coarse: int = 1024) -> DataFrame:
+            sample_rows: int = 40000, shards_per_query: int = 5, slack: float = 0.2, degree: int = 18, beam: int = 24, most_coarse: int = 1024) -> DataFrame:
     """The ``k`` most similar other vectors of every vector, among those with a cosine of at least ``min_cos``.
 
     Columns ``id``, ``neighbour``, ``cosine``; ties go to the smaller neighbour id. Every row is indexed and every row is a
