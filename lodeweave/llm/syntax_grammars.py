@@ -236,3 +236,47 @@ begin_head = stmt?
 do_head = blockp? stmt?
 part = 'else' stmt? | 'elsif' stmt ('then' stmt?)? | 'when' list ('then' stmt?)? | 'in' list (('if' | 'unless') expr)? ('then' stmt?)? | 'rescue' list? ('=>' arg)? ('then' stmt?)? | 'ensure' stmt?
 """
+
+PYTHON = """
+line = simple (';' simple)* ';'?
+simple = 'pass' | 'break' | 'continue' | 'return' stars? | 'raise' (test ('from' test)?)? | ('global' | 'nonlocal') I (',' I)* | 'del' stars | 'assert' test (',' test)? | imp | I I '[a'? '=' test | assigned
+imp = 'import' dotted ('as' I)? (',' dotted ('as' I)?)* | 'from' from 'import' ('*' | '(a' | I ('as' I)? (',' I ('as' I)?)*)
+from = ('.' | '...')+ dotted? | dotted
+dotted = I ('.' I)*
+assigned = rhs (':' test ('=' rhs)? | AUG rhs | ('=' rhs)*)
+rhs = yield | stars
+yield = 'yield' ('from' test | stars)?
+stars = star (',' star)* ','?
+star = '*' ors | named
+named = I ':=' test | test
+test = 'lambda' lparams? ':' test | ors ('if' ors 'else' test)?
+ors = unary (bin unary)*
+bin = BIN | BINUN | '*' | '**' | '/' | '@' | 'and' | 'or' | 'in' | 'not' 'in' | 'is' 'not'?
+unary = ('not' | BINUN | '~' | 'await')* post
+post = prim ('.' I | '(a' | '[a')*
+prim = I | LIT | STR+ | '(a' | '[a' | '{a' | '...' | 'None' | 'True' | 'False'
+comp = ('async'? 'for' targets 'in' ors ('if' test)*)+
+targets = target (',' target)* ','?
+target = '*'? post
+parens = yield | (item (',' item)* ','?)?
+item = ('*' | '**') test | I '=' test | named (comp | 'as' post)?
+index = (slice (',' slice)* ','?)?
+slice = test? ':' test? (':' test?)? | I (':' test)? '=' test | '**' I ('=' test)? | '*' test ('=' test)? | item
+braces = (pair (',' pair)* ','?)?
+pair = test ':' test (comp | 'as' I)? | '**' ors | item
+params = (param (',' param)* ','?)?
+param = '*' (I (':' star)?)? | '**' I (':' test)? | '/' | I (':' test)? ('=' test)?
+lparams = lparam (',' lparam)* ','?
+lparam = '*' I? | '**' I | '/' | I ('=' test)?
+head = ('if' | 'elif' | 'while') named ':' | ('else' | 'try' | 'finally') ':' | 'except' '*'? (test (',' test)* ','? ('as' I)?)? ':' | 'async'? 'for' targets 'in' stars ':' | 'async'? 'with' with (',' with)* ':' | 'async'? 'def' I '[a'? '(p' ('->' stars)? ':' | 'class' I '[a'? '(a'? ':'
+with = test ('as' target)?
+match = I stars ':'
+case = I pattern (',' pattern)* ','? ('if' named)? ':'
+pattern = '*' I | ors ('as' I)?
+headline = head line
+matchline = match line
+caseline = case line
+deco = '@' named
+block = (SIMPLE | IF ELIF* ELSE? | (FOR | WHILE) ELSE? | TRY (EXCEPT+ ELSE? FINALLY? | FINALLY) | WITH | DECO* (DEF | CLASS) | MATCH)*
+cases = CASE+
+"""

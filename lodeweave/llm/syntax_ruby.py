@@ -42,7 +42,7 @@ def _string(text: str, at: int, close: str, open_: str = "", interpolate: bool =
                 return i + 1
             depth -= 1
         i += 1
-    raise Broken(at)
+    raise Broken(at, True)
 
 
 def lex(text: str) -> list[tuple[str, int, bool]]:
@@ -63,7 +63,7 @@ def lex(text: str) -> list[tuple[str, int, bool]]:
             for squiggly, word in pending:
                 m = re.compile(rf"^{'[ \t]*' if squiggly else ''}{word}\r?$", re.M).search(text, at)
                 if not m:
-                    raise Broken(at)
+                    raise Broken(at, True)
                 at = m.end()
             pending = []
             if last not in ("NL", ""):
@@ -72,7 +72,7 @@ def lex(text: str) -> list[tuple[str, int, bool]]:
             if text.startswith("=begin", at):
                 e = text.find("\n=end", at)
                 if e < 0:
-                    raise Broken(at)
+                    raise Broken(at, True)
                 at = text.find("\n", e + 1)
                 at = n if at < 0 else at
             elif text.startswith("__END__\n", at) or text[at:] == "__END__":
@@ -149,7 +149,7 @@ def lex(text: str) -> list[tuple[str, int, bool]]:
         m = _NUM.match(text, at)
         if m:
             if m.end() < n and (text[m.end()].isalpha() or text[m.end()] == "_"):
-                raise Broken(at)
+                raise Broken(at, False)
             put("LIT", at)
             at = m.end()
             continue
@@ -159,7 +159,7 @@ def lex(text: str) -> list[tuple[str, int, bool]]:
             continue
         m = _OP.match(text, at)
         if not m:
-            raise Broken(at)
+            raise Broken(at, False)
         t = m[0]
         if t in ("+", "-"):
             s = "BINUN"
@@ -187,7 +187,7 @@ class _Block(Group):
     """A keyword block up to its ``end``; ``open`` is the keyword."""
 
 
-def check(text: str) -> tuple[list[tuple[int, int]], bool]:
+def check(text: str, most: int = 2) -> tuple[list[tuple[int, int]], bool]:
     """(edits as offset and cost, whether something is left open at the end)."""
     if not _grammar:
         _grammar.append(Grammar(G.RUBY))
@@ -195,7 +195,7 @@ def check(text: str) -> tuple[list[tuple[int, int]], bool]:
     try:
         toks = lex(text)
     except Broken as e:
-        return [(e.args[0], 1)], e.args[0] > 0.7 * len(text)
+        return [(e.args[0], 1)], e.args[1]
     root = Group("", 0)
     stack, edits = [root], []
     loop_do = 0  # a while, until or for whose own ``do`` may follow on its line
@@ -255,7 +255,7 @@ def check(text: str) -> tuple[list[tuple[int, int]], bool]:
             block(x)
             return "DO" if x.open == "do" else "GRP"
         items = [it for it in x.items]
-        syms = tuple(symbol(it[0]) for it in items)
+        syms = tuple([symbol(it[0]) for it in items])
         good = ""
         if x.open == "(":
             plain = tuple(s for s in syms if s != "NL")
@@ -311,14 +311,14 @@ def check(text: str) -> tuple[list[tuple[int, int]], bool]:
         return out
 
     def line(start: str, items: list) -> None:
-        syms = tuple(symbol(it[0]) for it in items)
+        syms = tuple([symbol(it[0]) for it in items])
         if syms[:1] == ("DEFX",):
             start, syms = "def_head", syms[1:]
             k = syms.index("ASG") if "ASG" in syms else 0
             syms = (*syms[: k + 1], *syms[k + 1 :])
         if syms[:1] in (("else",), ("elsif",), ("when",), ("in",), ("rescue",), ("ensure",)) and start == "stmt":
             start = "part"
-        c = g.cost(start, syms, 2)
+        c = g.cost(start, syms, most)
         if c:
             edits.append((items[0][1] if items else 0, c))
 

@@ -119,6 +119,68 @@ def test_syntax_rows(spark):
     assert syntax.unparsable(df.limit(0), ("id",)).count() == 0
 
 
+def test_chart_counts_edits_at_any_length():
+    g = chart.Grammar("s = 'a' ('b' s)? 'c'")
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            left, row = row, [i]
+            for j, b in enumerate(y, 1):
+                row.append(min(left[j - 1] + (a != b), left[j] + 1, row[-1] + 1))
+        return row[-1]
+
+    r = random.Random(5)
+    words = [("a", "b") * k + ("a",) + ("c",) * (k + 1) for k in range(20)]
+    for _ in range(60):
+        w = list(words[r.randrange(6, 14)])
+        for _ in range(r.randrange(4)):
+            i = r.randrange(len(w))
+            w[i : i + r.randrange(2)] = r.choice([[], ["a"], ["x"]])
+        assert g.cost("s", tuple(w)) == min(4, min(distance(w, y) for y in words))
+    assert g.cost("s", words[15][:-2]) == 2 and g.cost("s", words[15] + ("x",) * 9, 8) == 9 == g.cost("s", words[15] + ("x",) * 9, 9)
+
+
+@pytest.mark.parametrize(
+    "lang,near,far,end,cost",
+    [
+        ("javascript", "f(", "x, y, ", "z w);", 1), ("typescript", "f(", "{ a: 1 }, b, ", "c d e);", 1), ("java", "class A { ", "int f(int a) { return 1; } ", "int x = ; }", 1), ("go", "package a\nvar x = ", "a + b + ", "c d\n", 1),
+        ("ruby", "x = f(", "a, b, ", "c d e)", 1), ("python", "x = f(", "a, b, ", "c d e f)", 2),
+    ],
+)
+def test_syntax_at_any_length(lang, near, far, end, cost):
+    short, long = syntax.repair(near + far + end, lang), syntax.repair(near + far * 80 + end, lang)
+    assert short == long and short[0] == cost
+    pad = {"python": "# text\n", "ruby": "# text\n"}.get(lang, "// text\n") * 80
+    assert syntax.repair(near + far + end + "\n" + pad, lang) == short  # where the edit stands does not tell its kind
+    after = near + far + end if lang in ("java", "go") else pad + near + far + end
+    assert syntax.repair(after, lang)[:2] == short[:2]
+
+
+def test_syntax_python_beyond_the_limits_of_its_parser():
+    deep = "(" * 5000
+    good = ["x = " + deep + "1" + ")" * 5000, "".join(" " * i + "if x:\n" for i in range(120)) + " " * 120 + "pass", "if a: pass\n" + "elif b: pass\n" * 5000 + "else: pass", "x = " + "1+" * 20000 + "1", "x = " + "not " * 9000 + "y", "x = " + "9" * 5000]
+    assert [syntax.repair(x, "python") for x in good] == [(0, "none", 0)] * len(good)
+    assert syntax.repair("x = " + deep + "1 +" + ")" * 5000, "python")[:2] == (1, "edit") and syntax.repair(good[2] + "\nelse: pass", "python")[0] == 1
+    assert syntax.repair("x = " + "[" * 5000 + "]" * 5000, "javascript")[0] == 0 == syntax.repair("x = " + "[" * 5000 + "]" * 5000, "ruby")[0]
+
+
+def test_syntax_python_by_the_chart():
+    from lodeweave.llm import syntax_python
+
+    good = 'import a.b as c\nfrom . import (d, e as f)\n\n@g(1)\nasync def h(x: int, /, *y, z=1, **k) -> None:\n    """t"""\n    async with a as b, c: pass\n    for i, *j in x:\n        x[1:, ::2] += yield\n    else:\n        return {**a, "b": [u for u in v if not w], **c}\n    match x:\n        case {"a": 1, **r} | [b, *_] if b:\n            print(f"{x!r:>{w}} {d["k"]}", *a, k=lambda q, *r: q)\n    try:\n        raise E from e\n    except* (A, B) as e:\n        del a, b\n'
+    bad = {"def f(a)\n    return a\n": 1, "if x:\ny = 1\n": 1, "x = (1,\n": 1, "try:\n    a\nb = 1\n": 1, "a = 1\n    b = 2\n": 1, "x = 'a\n": 1, "else:\n    a\n": 1, "for x y:\n    a b\n": 2}
+    assert syntax_python.chart_edits(good) == ([], False) and syntax.repair(good, "python")[0] == 0
+    assert {x: sum(c for _, c in syntax_python.chart_edits(x)[0]) for x in bad} == bad == {x: syntax.repair(x, "python")[0] for x in bad}
+
+
+def test_syntax_kinds():
+    ts, py = "interface A<T> { a?: T[]; m(x: string): void }\n", "def f(a):\n    return [a for a in b]\n"
+    assert syntax.repair(ts, "javascript")[1] == "mismatch" == syntax.repair(py, "go")[1] and syntax.repair("x = 1;\ny = ) 2;\n", "javascript")[1] == "edit"
+    assert all(syntax.repair(t, x)[1] == "truncation" for t, x in [("a();\n/* b", "javascript"), ("a(`b ${c", "typescript"), ("package a\nvar x = `b", "go"), ("x = 'b", "ruby"), ("class A { String s = \"b", "java"), ("x = \"\"\"b\n" + "c\n" * 99, "python"), ("x = 1\ny = 'b", "python")])
+    assert syntax.repair("x = 'b\n" + "y = 1\n" * 3, "javascript")[1] == "edit" and syntax.repair("y = 1\n" * 99 + "x = 'b\ny = 1\n", "javascript")[1] == "edit"
+
+
 # problem 5 ----------------------------------------------------------------------------------------------------------
 
 
