@@ -213,6 +213,33 @@ def test_provenance_below_a_licence_and_without_a_whole_file(spark):
     assert rows(provenance.classify(df)) == [("r", "a/m.js", "minified")]
 
 
+def test_provenance_by_diversity_and_style(spark):
+    r = random.Random(3)
+
+    def name(snake):
+        parts = ["".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(2)) for _ in range(2)]
+        return "_".join(parts) if snake else parts[0] + parts[1].title()
+
+    def source(snake, n=12):
+        def line():
+            return "    " + name(snake) + " = " + "".join(name(snake) + r.choice([" + ", " - ", " * ", ", ", " == ", ".", " // "]) for _ in range(r.randrange(1, 5))) + name(snake)
+
+        return "\n".join("def %s(%s, %s):\n" % (name(snake), name(snake), name(snake)) + "\n".join(line() for _ in range(r.randrange(3, 8))) for _ in range(n))
+
+    template = "\n".join(f"def get(row, at={i}):\n    if row is None:\n        return None\n    return row.cells[{i}]\n" for i in range(90))
+    script = "\n".join("export function %s(%s) {\n  const %s = new %s();\n  return %s;\n}" % tuple(name(False) for _ in range(5)) for _ in range(9))
+    query = source(True) + '\nq = "' + " ".join(name(False) for _ in range(60)) + '"\n'
+    one = source(True, 4)
+    files = [(f"a/{i}.py", "python", "module", 0, 0, source(True, r.randrange(4, 20))) for i in range(30)] + [
+        ("a/rows.py", "python", "module", 0, 0, template), ("a/port.py", "python", "module", 0, 0, source(False)), ("a/query.py", "python", "module", 0, 0, query), ("a/wrong.py", "python", "module", 0, 0, script), ("a/s.js", "javascript", "module", 0, 0, script),
+        *(("a/moved.py", "python", "function", i, i + 50, one + f"\n# {i}") for i in range(1, 40)),
+    ]
+    df = spark.createDataFrame([("r", *f) for f in files], "repo_id string, file_path string, language string, chunk_type string, start_line int, end_line int, raw_code string")
+    assert rows(provenance.classify(df)) == [("r", "a/port.py", "vendored"), ("r", "a/rows.py", "generated")]
+    other = df.withColumn("repo_id", F.lit("s")).filter("file_path = 'a/port.py'").unionByName(spark.createDataFrame([("s", f"b/{i}.py", "python", "module", 0, 0, source(False)) for i in range(9)], df.schema))
+    assert rows(provenance.classify(df.unionByName(other))) == [("r", "a/port.py", "vendored"), ("r", "a/rows.py", "generated")]
+
+
 # problem 6 ----------------------------------------------------------------------------------------------------------
 
 
