@@ -99,6 +99,33 @@ def _partners(centres: np.ndarray, radius: np.ndarray, parts: np.ndarray, theta:
     return out
 
 
+def stars_of(t: pa.Table, min_cos: float) -> pa.Table:
+    """Links ``src``, ``dst`` of each component's nodes to its least one, for every cell or meeting of two cells in ``t``.
+
+    Rows are taken by name, not as they arrive: executors may compute a cached part twice, from rows in another order, and both must name the same nodes.
+    """
+    t = t.sort_by("rep")
+    key, low, high, me = (t.column(c).to_numpy() for c in ("key", "low", "high", "me"))
+    x, rep = unpack(t.column("vec")), t.column("rep").combine_chunks()
+    order = np.lexsort((high, low, key))
+    cuts = np.nonzero((np.diff(key[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0))[0] + 1
+    src, dst = [], []
+    for rows in np.split(order, cuts):
+        if len(rows) > 1:
+            if low[rows[0]] == high[rows[0]]:
+                label = link(x[rows], min_cos)
+            else:
+                rows = rows[np.argsort(me[rows], kind="stable")]
+                n = int((me[rows] == low[rows[0]]).sum())
+                label = cross(x[rows[:n]], x[rows[n:]], min_cos)
+            other = label != np.arange(len(rows))
+            src.append(rows[other])
+            dst.append(rows[label[other]])
+    a = np.concatenate(src) if src else np.empty(0, np.int64)
+    b = np.concatenate(dst) if dst else np.empty(0, np.int64)
+    return pa.table({"src": rep.take(pa.array(a)), "dst": rep.take(pa.array(b)), "final": pa.array(low[a] < 0)})
+
+
 def similarity_groups(df: DataFrame, id_col: str, vector: str, keys: list[str], min_cos: float = 0.85, min_size: int = 3,
                       cell_rows: int = 8192, sample_rows: int = 65536, with_vectors: bool = False) -> DataFrame:
     """Groups of linked vectors: ``keys``, ``id``, ``group_id`` (its least id), ``chunk_count`` and, on demand, ``vec``.
@@ -175,25 +202,7 @@ def similarity_groups(df: DataFrame, id_col: str, vector: str, keys: list[str],
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), *three, b.column(1).take(take), b.column(2).take(take)], names=["key", "low", "high", "me", "rep", "vec"])
 
     def components(t: pa.Table) -> pa.Table:
-        key, low, high, me = (t.column(c).to_numpy() for c in ("key", "low", "high", "me"))
-        x, rep = unpack(t.column("vec")), t.column("rep").combine_chunks()
-        order = np.lexsort((high, low, key))
-        cuts = np.nonzero((np.diff(key[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0))[0] + 1
-        src, dst = [], []
-        for rows_ in np.split(order, cuts):
-            if len(rows_) > 1:
-                if low[rows_[0]] == high[rows_[0]]:
-                    label = link(x[rows_], min_cos)
-                else:
-                    rows_ = rows_[np.argsort(me[rows_], kind="stable")]
-                    n = int((me[rows_] == low[rows_[0]]).sum())
-                    label = cross(x[rows_[:n]], x[rows_[n:]], min_cos)
-                other = label != np.arange(len(rows_))
-                src.append(rows_[other])
-                dst.append(rows_[label[other]])
-        a = np.concatenate(src) if src else np.empty(0, np.int64)
-        b = np.concatenate(dst) if dst else np.empty(0, np.int64)
-        return pa.table({"src": rep.take(pa.array(a)), "dst": rep.take(pa.array(b)), "final": pa.array(low[a] < 0)})
+        return stars_of(t, min_cos)
 
     placed = nodes.select("key", "rep", "vec", "k1").mapInArrow(assign, "key long, low int, high int, me int, rep string, vec binary")
     copies = sum(sizes[k] * max(1, np.mean([len(q) for p in ps for q in p])) for k, ps in partners.items())

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodeweave.llm import groups, neighbours, trees
@@ -43,6 +44,20 @@ def test_cross_links():
     assert (groups.cross(x[:120], x[120:], 0.85, block=50) == components(near)).all()
 
 
+def test_roots_do_not_depend_on_the_order_of_arrival():
+    x = clustered(300, 40, noise=0.18).astype(np.float32)
+    cell = np.arange(300) % 3 - 1  # rows of a small key (-1), then the two cells of a meeting
+    t = pa.table({
+        "key": np.where(cell < 0, 5, 6), "low": np.where(cell < 0, -1, 0).astype(np.int32), "high": np.where(cell < 0, -1, 1).astype(np.int32), "me": cell.astype(np.int32),
+        "rep": [f"i{i:03}" for i in range(300)], "vec": pa.array([r.tobytes() for r in x], pa.binary()),
+    })
+    want = {tuple(r.values()) for r in groups.stars_of(t, 0.85).to_pylist()}
+    assert len(want) > 100 and {final for *_, final in want} == {True, False}
+    for seed in range(3):
+        mixed = t.take(np.random.default_rng(seed).permutation(300))
+        assert {tuple(r.values()) for r in groups.stars_of(mixed, 0.85).to_pylist()} == want
+
+
 def _frame(spark, x, keys="r"):
     rows = [(f"i{i:04}", "r" if i % 3 else "q", "l", [float(v) for v in row], 1.0) for i, row in enumerate(x)]
     rows += [("null", "r", "l", None, 1.0), ("zero", "r", "l", [0.0] * x.shape[1], 1.0), ("nan", "r", "l", [float("nan")] * x.shape[1], 1.0), (None, "r", "l", [float(v) for v in x[0]], 1.0)]
